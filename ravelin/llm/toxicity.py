@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import held_out, sample_labels, text_of, without
 
 SAMPLE, UNLABELLED = 12_000, 4_000
-#: Beginnings of words that are mined: lengths, most kept, toxic texts they must be in, their least precision.
-BEGINNINGS, MINED, SUPPORT, PRECISION = (4, 5, 6, 8), 150, 4, 0.9
+#: Beginnings of words that are mined: lengths, distinct words asked for, most kept, toxic texts they must gain, their precision.
+BEGINNINGS, LEAST, MINED, SUPPORT, PRECISION = (4, 5, 6, 7, 8), (1, 2, 3), 100, 4, 0.9
 THRESHOLD = 0.5
 MEMO = 500_000
 
@@ -52,12 +52,12 @@ def words(text: str) -> set[str]:
 
 
 class Voters:
-    """Votes of a text as a 0/1 vector; ``mined`` are word beginnings."""
+    """Votes of a text; ``mined`` holds (word beginning, least number of distinct words) pairs."""
 
-    def __init__(self, mined: list[str]) -> None:
-        self.names = [*LEXICONS, *(f"^{m}" for m in mined)]
+    def __init__(self, mined: list[tuple[str, int]]) -> None:
+        self.least = np.array([1] * len(LEXICONS) + [k for _, k in mined])
         self.lexicon = {w: i for i, line in enumerate(LEXICONS.values()) for w in line.split()}
-        self.begin = {m: len(LEXICONS) + i for i, m in enumerate(mined)}
+        self.begin = {b: len(LEXICONS) + i for i, (b, _) in enumerate(mined)}
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def of_word(self, w: str) -> tuple[int, ...]:
@@ -72,32 +72,50 @@ class Voters:
 
     def counts(self, text: str) -> np.ndarray:
         """Distinct voting words of each voter."""
-        out = np.zeros(len(self.names))
+        out = np.zeros(len(self.least))
         for w in words(text):
             for k in self.of_word(w):
                 out[k] += 1
         return out
 
+    def votes(self, counts: np.ndarray) -> np.ndarray:
+        return (counts >= self.least).astype(float)
 
-def mine(texts: list[str], y: np.ndarray) -> list[str]:
-    """Word beginnings that mark toxic texts; a longer one is kept only where no shorter one says the same."""
-    toxic, clean = Counter(), Counter()
-    for t, label in zip(texts, y, strict=True):
-        (toxic if label else clean).update({w[:n] for w in words(t) for n in BEGINNINGS if len(w) >= n})
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    good = []
-    for b, k in toxic.items():
-        other = clean[b]
-        rate, base = k / n1, other / n0
-        if k >= SUPPORT and rate / (rate + base) >= PRECISION and k / (k + other) >= PRECISION / 2:
-            good.append((k * np.log((rate + 1e-4) / (base + 1e-4)), b))
-    kept: list[str] = []
-    for _, b in sorted(good, key=lambda x: (-x[0], x[1])):
-        if len(kept) >= MINED:
+
+def mine(texts: list[str], y: np.ndarray) -> list[tuple[str, int]]:
+    """Word beginnings that mark toxic texts, each with the number of distinct words from which it does.
+
+    A stem may also come up by chance, so one or two words of it can be harmless where three are not.
+    Greedy cover: the pair that gains most goes first; a toxic text is covered once, and a clean text
+    costs as much as precision demands, every time.
+    """
+    toxic: dict[tuple[str, int], set[int]] = {}
+    clean: Counter = Counter()
+
+    def marks(text: str) -> set[tuple[str, int]]:
+        n = Counter(w[:k] for w in words(text) for k in BEGINNINGS if len(w) >= k)
+        return {(b, k) for b, m in n.items() for k in LEAST if m >= k}
+
+    for i in np.flatnonzero(y == 1):
+        for mark in marks(texts[i]):
+            toxic.setdefault(mark, set()).add(int(i))
+    toxic = {m: found for m, found in toxic.items() if len(found) >= SUPPORT}
+    for i in np.flatnonzero(y != 1):
+        clean.update(marks(texts[i]) & toxic.keys())
+    cost = PRECISION / (1 - PRECISION) / 2
+    gain = {m: len(found) - cost * clean[m] for m, found in toxic.items()}
+    ranked = sorted((m for m, g in gain.items() if g >= SUPPORT), key=lambda m: (-gain[m], m))[: 20 * MINED]
+    covered: Counter = Counter()
+    chosen: dict[str, int] = {}
+    while ranked and len(chosen) < MINED:
+        left = [(len([i for i in toxic[m] if covered[i] < 2]) - cost * clean[m], m) for m in ranked]
+        best, mark = max(left, key=lambda x: (x[0], -len(x[1][0]), x[1]))
+        if best < SUPPORT:
             break
-        if not any(b[:n] in kept for n in BEGINNINGS if n < len(b)):
-            kept.append(b)
-    return sorted(kept)
+        chosen[mark[0]] = mark[1]
+        covered.update(toxic[mark])
+        ranked = [m for g, m in left if g >= SUPPORT and m[0] not in chosen]
+    return sorted(chosen.items())
 
 
 def label_model(votes: np.ndarray, prior: float, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +148,9 @@ def label_model(votes: np.ndarray, prior: float, known: np.ndarray) -> tuple[np.
     return post, rate, weight
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Of the linear classifier: votes, log counts, whether any voter speaks, and how many do."""
-    votes = (counts > 0).astype(float)
-    return np.c_[votes, np.log1p(counts.sum(axis=1)), votes.any(axis=1), np.log1p(votes.sum(axis=1))]
+def features(counts: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    """Of the linear classifier: votes, word counts of each voter, whether any voter speaks, how many do."""
+    return np.c_[votes, np.log1p(counts), votes.any(axis=1), np.log1p(votes.sum(axis=1))]
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.1) -> tuple[float, np.ndarray]:
@@ -150,7 +167,7 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.1) -> tuple[flo
     return float(w[-1]), w[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], float, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], float, np.ndarray]:
     """Mined beginnings, intercept and weights."""
     chosen = F.broadcast(sample_labels(labels, "toxic", ~held_out("doc_id", 5, 0), SAMPLE).withColumnRenamed("doc_id", "_id"))
     both = docs.select("doc_id", text_of().alias("text"))
@@ -162,10 +179,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], float, np.ndar
     mined = mine(texts, y) if len(y) and y.any() else []
     voters = Voters(mined)
     rows = [*texts, *more["text"].tolist()]
-    counts = np.array([voters.counts(t) for t in rows]).reshape(len(rows), len(voters.names))
+    counts = np.array([voters.counts(t) for t in rows]).reshape(len(rows), len(voters.least))
+    votes = voters.votes(counts)
     prior = float(np.clip((y.sum() + 1) / (len(y) + 2), 0.01, 0.5))
-    post, _, _ = label_model((counts > 0).astype(float), prior, np.r_[y, np.full(len(more), -1)])
-    b, w = logistic(features(counts), post) if len(rows) else (float(np.log(prior / (1 - prior))), np.zeros(len(voters.names) + 3))
+    post, _, _ = label_model(votes, prior, np.r_[y, np.full(len(more), -1)])
+    x = features(counts, votes)
+    b, w = logistic(x, post) if len(rows) else (float(np.log(prior / (1 - prior))), np.zeros(x.shape[1]))
     return mined, b, w
 
 
@@ -174,14 +193,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return _scored(docs, *train(docs, labels))
 
 
-def _scored(docs: DataFrame, mined: list[str], b: float, w: np.ndarray) -> DataFrame:
+def _scored(docs: DataFrame, mined: list[tuple[str, int]], b: float, w: np.ndarray) -> DataFrame:
     rows = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(mined)
         for batch in batches:
-            counts = np.array([voters.counts(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, len(voters.names))
-            p = 1 / (1 + np.exp(-np.clip(features(counts) @ w + b, -30, 30)))
+            counts = np.array([voters.counts(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, len(voters.least))
+            p = 1 / (1 + np.exp(-np.clip(features(counts, voters.votes(counts)) @ w + b, -30, 30)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
