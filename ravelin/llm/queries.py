@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, packing, quality, secrets, token_count, toxicity
+from . import chat, decontam, exact_dedup, packing, quality, secrets, token_count, toxicity, warc
 from .common import table
 
 
@@ -27,6 +27,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(chat.with_tricky(spark, table(spark, sf_dir, "conversations"))))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages"))))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -48,6 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_toxicity, op3_chat_format, op4_best_fit_packing, op8_secret_scan, op9_token_counts, op10_quality,
+    op1_exact_dedup, op2_toxicity, op3_chat_format, op4_best_fit_packing, op6_decontamination,
+    op7_warc_revisits, op8_secret_scan, op9_token_counts, op10_quality,
 )}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL}
