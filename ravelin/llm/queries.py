@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, exact_dedup, packing, quality, secrets, token_count, toxicity, warc
+from . import chat, decontam, exact_dedup, ngram_join, packing, quality, secrets, token_count, toxicity, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(chat.with_tricky(spark, table(spark, sf_dir, "conversations"))))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_toxicity, op3_chat_format, op4_best_fit_packing, op6_decontamination,
-    op7_warc_revisits, op8_secret_scan, op9_token_counts, op10_quality,
+    op1_exact_dedup, op2_toxicity, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard,
+    op6_decontamination, op7_warc_revisits, op8_secret_scan, op9_token_counts, op10_quality,
 )}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL}
