@@ -44,13 +44,13 @@ from .common import MAX_BROADCAST_IDS, materialize, text_of, without
 
 WORDS = 5
 #: Ranges of the n-gram order for the partial counts; signatures that one bucket holds, about.
-FRAGMENTS, BUCKET = 4, 1_500_000
+FRAGMENTS, BUCKET = 4, 600_000
 #: Ratio of size classes; fragments of a class as a share of its largest size; hubs compared with a node.
 RATIO, SHARE, HUBS = 1.5, 0.34, 2
 PREFIX = 255
 U = np.uint64
-#: Bytes hashed at once.
-SLICE = 2_000_000
+#: Bytes hashed at once; documents whose signatures are grouped at once.
+SLICE, GROUP = 500_000, 1500
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -82,7 +82,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
     edge = np.diff(np.r_[False, solid, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(max(22, len(b).bit_length()))
+    up, down = _powers(max(20, len(b).bit_length()))
     total = np.zeros(len(b) + 1, U)
     np.cumsum((b.astype(U) + U(1)) * up[: len(b)], out=total[1:])
     return start, mix((total[end] - total[start]) * down[start], 7) + mix((end - start).astype(U), 3)
@@ -180,7 +180,7 @@ def shared_signatures(rows: DataFrame, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in (whole.slice(k, GROUP) for whole in batches for k in range(0, whole.num_rows, GROUP)):
             nodes, wanted, entries = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             for node, want, s in zip(nodes, wanted, shingle_sets(b.column(2).to_pylist()), strict=True):
                 if len(s) and digest(s)[0] == want:

@@ -36,7 +36,7 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 2, 40, 8, 2
 #: Bins filled less than this meet again across blocks.
 WELL_FILLED = 0.97
 #: Chunks that a worker remembers with their ids; the memory is emptied when it is full.
-MEMO = 1_000_000
+MEMO = 700_000
 
 
 class Ids:

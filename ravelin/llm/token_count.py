@@ -28,7 +28,7 @@ from .common import text_of
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers; the memory is emptied when it is full.
-MEMO = 1_200_000
+MEMO = 800_000
 #: Symbols merged at once; a longer pre-token makes a batch of its own.
 BATCH = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
