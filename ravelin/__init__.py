@@ -1,0 +1 @@
+"""Spark-native analytics: review statistics, itemsets, similarity, recommendation, graphs, clustering, sketches, streams."""

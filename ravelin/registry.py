@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries by name and their SQL."""
+
+from .plans.oracles import ORACLES
+from .plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
