@@ -2,64 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import table  # noqa: F401 - for the operators' queries
+from ..sources.storage import materialize, shared_dir  # noqa: F401
+
 #: The white space of every text contract in this package: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Largest number of (long) ids that is ever broadcast; about 64 MB as a hashed relation.
 MAX_BROADCAST_IDS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ravelin-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store; a missing one is fine."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialize(df: DataFrame, name: str, temporary: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors and lets later readers prune columns.
-    The table goes when its path is in ``temporary`` and the caller deletes it, else at the
-    end of the driver's process (a result may still be lazily reading it until then).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ravelin/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if temporary is not None:
-        temporary.append(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete(spark, path)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        pass
-
-
 def text_of(column: str = "text") -> Column:
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -70,10 +24,6 @@ def held_out(id_column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % modulus == remainder, F.lit(True))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def without(docs: DataFrame, dropped: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
     """``docs`` without the ids in ``dropped``; all columns stay, rows with a null id stay.
 
