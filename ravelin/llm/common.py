@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ctypes
+import gc
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import table  # noqa: F401 - for the operators' queries
@@ -12,6 +15,22 @@ from ..sources.storage import materialize, shared_dir  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 #: Largest number of (long) ids that is ever broadcast; about 64 MB as a hashed relation.
 MAX_BROADCAST_IDS = 2_000_000
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Small Arrow batches from now on: texts may be long, and each batch exists in the JVM and in Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def trim() -> None:
+    """Give memory that earlier tasks of this Python worker freed back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def text_of(column: str = "text") -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, without
+from .common import lean, text_of, trim, without
 
 MATCH, COVERAGE = 5, 0.5
 #: Words of a block of items.
@@ -163,6 +163,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK) -> list[list[tuple[object,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles, longest_tile of every contaminated pair."""
+    lean(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     kinds = dict(rows.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double, n_tiles int, longest_tile int"
@@ -171,6 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, match: int = MATCH, cove
         sent = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trim()
             items = Items(sent.value, match)
             for b in batches:
                 found = [(i, *m) for i, t in enumerate(b.column(1)) for m in items.matches(t.as_py(), coverage)]

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_IDS, materialize, text_of, without
+from .common import MAX_BROADCAST_IDS, lean, materialize, text_of, trim, without
 
 WORDS = 5
 #: Ranges of the n-gram order for the partial counts; signatures that one bucket holds, about.
@@ -165,6 +165,7 @@ def measured(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             found = [(len(s), *digest(s)) for s in shingle_sets(b.column(1).to_pylist())]
             table = np.array(found, np.int64).reshape(-1, 3)
@@ -179,6 +180,7 @@ def shared_signatures(rows: DataFrame, buckets: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         part, number = TaskContext.get().partitionId(), 0
         for b in (whole.slice(k, GROUP) for whole in batches for k in range(0, whole.num_rows, GROUP)):
             nodes, wanted, entries = b.column(0).to_pylist(), b.column(1).to_pylist(), []
@@ -242,6 +244,7 @@ def segments(rows: DataFrame) -> DataFrame:
     """node, frag, seg: the n-grams of each set by range of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for b in batches:
             out = []
             for node, want, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2).to_pylist()), strict=True):
@@ -304,6 +307,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    lean(docs.sparkSession)
     rows = materialize(measured(docs), "sizes")
     standing = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
     nodes = standing.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))

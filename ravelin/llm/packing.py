@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import lean, materialize, text_of, trim
 
 CAPACITY, BLOCK = 2048, 4096
 #: Islands a block, epochs, generations an epoch, packings an island, elites that move.
@@ -36,7 +36,7 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 2, 40, 8, 2
 #: Bins filled less than this meet again across blocks.
 WELL_FILLED = 0.97
 #: Chunks that a worker remembers with their ids; the memory is emptied when it is full.
-MEMO = 700_000
+MEMO = 350_000
 
 
 class Ids:
@@ -49,19 +49,28 @@ class Ids:
     """
 
     def __init__(self, path: str, ranks_path: str, pattern: str) -> None:
+        import json
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.quick = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(path, "rb") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.odd = re.compile(r" (?=\s)| $")
         self.memo: dict[str, bytes] = {}
 
+    @property
+    def library(self):
+        if self.loaded is None:  # most tasks never need it
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -102,10 +111,12 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and ``uid``, which deals the rows out."""
+    lean(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         own = _ids(path, ranks_path, pattern)
         for b in batches:
             at, out = [], []

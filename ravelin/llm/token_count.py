@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import lean, text_of, trim
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers; the memory is emptied when it is full.
-MEMO = 800_000
+MEMO = 600_000
 #: Symbols merged at once; a longer pre-token makes a batch of its own.
 BATCH = 1_000_000
 NO_RANK = np.iinfo(np.int64).max
@@ -226,10 +226,12 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; ``path`` is a BPE model file."""
+    lean(docs.sparkSession)
     rows = docs.select("doc_id", text_of().alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         own = merger(path)
         for b in batches:
             texts = b.column(1).to_pylist()

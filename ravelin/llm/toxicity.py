@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_labels, text_of, without
+from .common import held_out, lean, sample_labels, text_of, trim, without
 
-SAMPLE, UNLABELLED = 12_000, 4_000
+SAMPLE, UNLABELLED = 8_000, 2_000
 #: Beginnings of words that are mined: lengths, distinct words asked for, most kept, toxic texts they must gain, their precision.
 BEGINNINGS, LEAST, MINED, SUPPORT, PRECISION = (4, 5, 6, 7, 8), (1, 2, 3), 100, 4, 0.9
 THRESHOLD = 0.5
-MEMO = 500_000
+MEMO = 200_000
 
 # Insults by theme, in the languages of the corpus' alphabets.
 LEXICONS = {
@@ -96,10 +96,13 @@ def mine(texts: list[str], y: np.ndarray) -> list[tuple[str, int]]:
         n = Counter(w[:k] for w in words(text) for k in BEGINNINGS if len(w) >= k)
         return {(b, k) for b, m in n.items() for k in LEAST if m >= k}
 
+    often: Counter = Counter()
     for i in np.flatnonzero(y == 1):
-        for mark in marks(texts[i]):
+        often.update(marks(texts[i]))
+    often = {m for m, n in often.items() if n >= SUPPORT}
+    for i in np.flatnonzero(y == 1):
+        for mark in marks(texts[i]) & often:
             toxic.setdefault(mark, set()).add(int(i))
-    toxic = {m: found for m, found in toxic.items() if len(found) >= SUPPORT}
     for i in np.flatnonzero(y != 1):
         clean.update(marks(texts[i]) & toxic.keys())
     cost = PRECISION / (1 - PRECISION) / 2
@@ -194,9 +197,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _scored(docs: DataFrame, mined: list[tuple[str, int]], b: float, w: np.ndarray) -> DataFrame:
+    lean(docs.sparkSession)
     rows = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), text_of().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         voters = Voters(mined)
         for batch in batches:
             counts = np.array([voters.counts(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, len(voters.least))
