@@ -45,8 +45,9 @@ from .common import MAX_BROADCAST_IDS, lean, materialize, text_of, trim, without
 WORDS = 5
 #: Ranges of the n-gram order for the partial counts; signatures that one bucket holds, about.
 FRAGMENTS, BUCKET = 4, 600_000
-#: Ratio of size classes; fragments of a class as a share of its largest size; hubs compared with a node.
-RATIO, SHARE, HUBS = 1.5, 0.34, 2
+#: Ratio of size classes; fragments of a class as a share of its largest size; hubs compared with
+#: a node in one turn; turns; owners of a signature compared in one block.
+RATIO, SHARE, HUBS, ROUNDS, OWNERS = 1.5, 0.34, 2, 2, 2048
 PREFIX = 255
 U = np.uint64
 #: Bytes hashed at once; documents whose signatures are grouped at once.
@@ -241,7 +242,7 @@ def shared_signatures(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """node, frag, seg: the n-grams of each set by range of the global order."""
+    """node, frag, seg: the n-grams of each set by range of the global order, and at -1 - class its sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim()
@@ -251,6 +252,7 @@ def segments(rows: DataFrame) -> DataFrame:
                 if len(s) and digest(s)[0] == want:
                     cuts = np.searchsorted(s, [U((k << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)])
                     out += [(node, k, part.tobytes()) for k, part in enumerate(np.split(s, cuts)) if len(part)]
+                    out += [(node, -1 - k, sketch(s, k).tobytes()) for k in {int(x) for x in signatures(s)[1]}]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())],
                 names=["node", "frag", "seg"],
@@ -305,6 +307,104 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def prefixes(found: DataFrame) -> DataFrame:
+    """sig, node: the signatures by which a node must meet any node that it is linked with.
+
+    A link shares ``need`` signatures of a class or more, all of them with a second owner. A node with
+    fewer such signatures leaves. Of the others' signatures, rarest first, the prefix filter keeps all but
+    the need - 1 most frequent ones, so common passages drop out.
+    """
+    per = Window.partitionBy("node", "kind")
+    enough = found.withColumn("have", F.count(F.lit(1)).over(per)).where("have >= need").select("sig", "node", "kind", "need")
+    enough = materialize(enough, "enough")
+    owners = enough.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    again = enough.join(owners, "sig").withColumn("have", F.count(F.lit(1)).over(per)).where("have >= need")
+    place = F.row_number().over(per.orderBy("df", "sig"))
+    return again.withColumn("place", place).where("place <= have - need + 1").select("sig", "node", "kind")
+
+
+def across(kept: DataFrame, comp: DataFrame) -> DataFrame:
+    """sig, node, comp of the signatures whose owners are in more than one component."""
+    placed = kept.join(comp, "node", "left").select("sig", "node", "kind", F.coalesce("comp", "node").alias("comp"))
+    open_ = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
+    return placed.join(open_, "sig", "left_semi")
+
+
+def sketch_bits(kind: int) -> int:
+    """Bits of the sketches of a class: four times its largest size."""
+    return 1024 if kind == PREFIX else -(-4 * int(classes()[kind + 1]) // 64) * 64
+
+
+def sketch(s: np.ndarray, kind: int) -> np.ndarray:
+    """Parity bits of a set: two sets differ in at least as many n-grams as their sketches differ in bits."""
+    bits = sketch_bits(kind)
+    odd = np.bincount((mix(s, 23) % U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def cross_pairs(rest: DataFrame, segs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a, b: nodes of different components that share a signature of ``rest``, unless their sketches prove
+    that they differ too much for a link.
+
+    The owners of one signature are compared within one task, in blocks of about OWNERS by hash, each
+    block with each; only pairs that the sketches let through become rows.
+    """
+    bits = segs.where("frag < 0").select("node", (-1 - F.col("frag")).alias("kind"), F.col("seg").alias("bits"))
+    blocks = rest.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / OWNERS).cast("int").alias("blocks"))
+    rows = rest.join(blocks, "sig").join(bits, ["node", "kind"]).join(sizes, "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "comp", "n", "bits")
+    dealt = rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "node")
+    return dealt.mapInArrow(_let_through, "a long, b long").distinct()
+
+
+def _let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    left = None
+    for b in batches:
+        t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
+        key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("sig", "low", "high")])
+        starts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
+        yield _pairs_of(t.slice(0, int(starts[-1])), starts[:-1])
+        left = t.slice(int(starts[-1]))  # the last group may go on
+    if left is not None:
+        yield _pairs_of(left, np.array([0]))
+
+
+def _pairs_of(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    low, high, own, node, comp, n = (t[c].to_numpy() for c in ("low", "high", "own", "node", "comp", "n"))
+    bits, out = t["bits"].to_pylist(), []
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+        matrix = np.frombuffer(b"".join(bits[i:j]), U).reshape(j - i, -1)
+        g = slice(i, j)
+        for k in range(j - i - 1):
+            rest = slice(i + k + 1, j)
+            ok = (comp[rest] != comp[i + k]) & (5 * np.minimum(n[rest], n[i + k]) >= 4 * np.maximum(n[rest], n[i + k]))
+            if low[i] != high[i]:
+                ok &= own[rest] != own[i + k]
+            at = np.flatnonzero(ok) + k + 1
+            differ = np.bitwise_count(matrix[at] ^ matrix[k]).sum(axis=1, dtype=np.int64)
+            at = at[9 * differ <= n[g][at] + n[i + k]]
+            out += [(min(x, y), max(x, y)) for x, y in zip(node[g][at].tolist(), [int(node[i + k])] * len(at), strict=True)]
+    pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+
+def hub_pairs(kept: DataFrame, comp: DataFrame, sizes: DataFrame, turn: int) -> DataFrame:
+    """a, b: each node with the few hubs of other components that it meets most often.
+
+    A signature's hub is one of its owners, another one each turn: first the smallest, then any by hash.
+    """
+    rest = materialize(across(kept, comp).join(sizes, "node"), "open")
+    order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    hubs = rest.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), order).alias("h"))
+    hubs = hubs.select("sig", F.col("h.node").alias("hub"), F.col("h.comp").alias("hc"), F.col("h.n").alias("hn"))
+    met = rest.join(hubs, "sig").where("comp <> hc AND 5 * least(n, hn) >= 4 * greatest(n, hn)").groupBy("node", "hub").count()
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
+    pairs = met.withColumn("r", best).where(F.col("r") <= HUBS)
+    return materialize(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "near")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     lean(docs.sparkSession)
@@ -321,26 +421,22 @@ def join(docs: DataFrame) -> DataFrame:
 
     buckets = max(1, -(-int((count["n"] or 0) * 0.6) // BUCKET))
     found = materialize(shared_signatures(texts(nodes, count["c"]), buckets), "shared")
-    enough = F.count(F.lit(1)).over(Window.partitionBy("node", "kind"))
-    kept = found.withColumn("have", enough).where("have >= need").select("sig", "node")
-    kept = materialize(kept, "kept")
+    kept = materialize(prefixes(found), "kept")
     alive = materialize(kept.select("node").distinct().join(nodes, "node"), "alive")
     segs = materialize(segments(texts(alive, alive.count())), "segments")
-    # a few hubs: the smallest nodes of its signatures' groups, those met most often first
-    hubs = kept.groupBy("sig").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "hub")
-    near = kept.join(hubs, "sig").where("node <> hub").groupBy("node", "hub").count()
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
-    pairs = near.withColumn("r", best).where(F.col("r") <= HUBS).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    edges = materialize(linked(pairs, segs, alive), "links")
-    comp = components(edges)
+    sizes = alive.select("node", "n")
+    edges = None
+    comp = sizes.select("node", F.col("node").alias("comp"))
+    for turn in range(ROUNDS):
+        near = hub_pairs(kept, comp, sizes, turn)
+        if near.isEmpty():
+            break
+        more = linked(near, segs, alive)
+        edges = materialize(more if edges is None else edges.unionByName(more), "links")
+        comp = components(edges)
     # whatever shares a signature across components is compared, all of it
-    placed = kept.join(comp, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-    rest = materialize(placed.join(open_, "sig", "left_semi").join(alive.select("node", "n"), "node"), "open")
-    other = rest.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"))
-    cross = rest.join(other, "sig").where("node < b AND comp <> comp_b AND 5 * least(n, nb) >= 4 * greatest(n, nb)")
-    more = linked(cross.select(F.col("node").alias("a"), "b").distinct(), segs, alive)
-    comp = components(edges.unionByName(more))
+    more = linked(materialize(cross_pairs(across(kept, comp), segs, sizes), "near"), segs, alive)
+    comp = components(more if edges is None else edges.unionByName(more))
     whole = rows.join(standing.select("doc_id", F.struct("n", "d1", "d2").alias("s")), "doc_id", "left")
     named = whole.select("doc_id", F.col("n").alias("own"), "s").join(nodes.select(F.struct("n", "d1", "d2").alias("s"), "node"), "s", "left").join(comp, "node", "left")
     return named.select("doc_id", F.col("own").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
