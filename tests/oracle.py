@@ -17,7 +17,7 @@ def rows(frame):
     def cell(v):
         if v is None or v != v:
             return "NULL"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
     return sorted(tuple(cell(r[c]) for c in sorted(frame.columns)) for r in frame.to_dict("records"))
 
