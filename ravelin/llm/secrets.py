@@ -95,7 +95,7 @@ def p_value(token: Column) -> Column:
 
 def _p_of(token: Column) -> Column:
     kind = encoding(token)
-    plain = F.translate(F.rtrim(F.lit("="), token), "-_", "+/")
+    plain = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
     symbols = F.when(kind == "hex", F.lower(plain)).otherwise(plain)
     alphabet = F.lit(ALPHABETS["base64"])
     for name in ("decimal", "hex", "base32", "upper"):

@@ -185,9 +185,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], fl
     counts = np.array([voters.counts(t) for t in rows]).reshape(len(rows), len(voters.least))
     votes = voters.votes(counts)
     prior = float(np.clip((y.sum() + 1) / (len(y) + 2), 0.01, 0.5))
-    post, _, _ = label_model(votes, prior, np.r_[y, np.full(len(more), -1)])
     x = features(counts, votes)
-    b, w = logistic(x, post) if len(rows) else (float(np.log(prior / (1 - prior))), np.zeros(x.shape[1]))
+    if not rows:
+        return mined, float(np.log(prior / (1 - prior))), np.zeros(x.shape[1])
+    post, _, _ = label_model(votes, prior, np.r_[y, np.full(len(more), -1)])
+    b, w = logistic(x, post)
     return mined, b, w
 
 
