@@ -365,7 +365,8 @@ def _let_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([b]) if left is None else pa.concat_tables([left, pa.Table.from_batches([b])])
         key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("sig", "low", "high")])
         starts = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1]
-        yield _pairs_of(t.slice(0, int(starts[-1])), starts[:-1])
+        if len(starts) > 1:
+            yield _pairs_of(t.slice(0, int(starts[-1])), starts[:-1])
         left = t.slice(int(starts[-1]))  # the last group may go on
     if left is not None:
         yield _pairs_of(left, np.array([0]))

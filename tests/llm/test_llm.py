@@ -132,6 +132,23 @@ def test_sketches_never_overstate():
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_groups_may_span_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    n = 60
+    t = pa.table({
+        "sig": np.sort(r.integers(0, 4, n)), "low": np.zeros(n, np.int32), "high": np.zeros(n, np.int32), "own": np.zeros(n, np.int32),
+        "node": np.arange(n), "comp": np.arange(n) // 3, "n": np.full(n, 90), "bits": [r.integers(0, 2, 2).astype(np.uint64).tobytes() for _ in range(n)],
+    })
+    runs = [
+        {tuple(p) for b in ngram_join._let_through(iter(t.to_batches(max_chunksize=size))) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        for size in (1, 7, n)
+    ]
+    assert runs[0] == runs[1] == runs[2] != set()
+    assert list(ngram_join._let_through(iter([]))) == []
+
+
 def test_tiles():
     doc, item = [1, 2, 3, 4, 5, 0, 6, 7, 8, 9, 10, 11, 0], [6, 7, 8, 9, 10, 11, 1, 2, 3, 4, 5]
     assert sorted(decontam.tile(doc, item, 5)) == [(0, 6, 5), (6, 0, 6)]
