@@ -175,8 +175,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], fl
     chosen = F.broadcast(sample_labels(labels, "toxic", ~held_out("doc_id", 5, 0), SAMPLE).withColumnRenamed("doc_id", "_id"))
     both = docs.select("doc_id", text_of().alias("text"))
     known = both.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label").toPandas().sort_values("doc_id")
-    more = both.where(~held_out("doc_id", 5, 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
-    more = more.join(chosen, F.col("doc_id") == F.col("_id"), "left_anti").toPandas()
+    # ids are ranked without their texts, so no task gathers texts
+    drawn = docs.select("doc_id").where(~held_out("doc_id", 5, 0)).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED)
+    more = both.join(F.broadcast(drawn.withColumnRenamed("doc_id", "_drawn")), F.col("doc_id") == F.col("_drawn"))
+    more = more.join(chosen, F.col("doc_id") == F.col("_id"), "left_anti").select("doc_id", "text").toPandas().sort_values("doc_id")
     y = known["_label"].to_numpy(int)
     texts = known["text"].tolist()
     mined = mine(texts, y) if len(y) and y.any() else []
