@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 
 
-def _hashes(text: Column, k: int, m: int) -> list[Column]:
-    return [hashing.affine(hashing.text_number(text, 2_147_483_647), a, b, p, m) for _, a, b, p in hashing.family(k)]
+def _number(text: Column) -> Column:
+    """The number that all hashes of a text start from; callers keep it as a column, so that it is computed once a row."""
+    return hashing.text_number(text, 2_147_483_647).alias("_number")
+
+
+def _hashes(number: Column, k: int, m: int) -> list[Column]:
+    return [hashing.affine(number, a, b, p, m) for _, a, b, p in hashing.family(k)]
 
 
 def bloom_bits(df: DataFrame, column: str, m: int = 10_000, k: int = 5) -> DataFrame:
     """bit: the distinct set bits of all non-null, non-empty values; at most m rows."""
     text = F.col(column).cast("string")
     values = df.where(F.coalesce(text, F.lit("")) != "")
-    return values.select(F.explode(F.array(*_hashes(text, k, m))).alias("bit")).distinct()
+    return values.select(_number(text)).select(F.explode(F.array(*_hashes(F.col("_number"), k, m))).alias("bit")).distinct()
 
 
 def bloom_probe(df: DataFrame, column: str, bits: DataFrame, m: int = 10_000, k: int = 5) -> DataFrame:
@@ -26,8 +31,9 @@ def bloom_probe(df: DataFrame, column: str, bits: DataFrame, m: int = 10_000, k:
     """
     text = F.col(column).cast("string")
     whole = bits.agg(F.collect_set("bit").alias("_bits"))
-    hit = F.forall(F.array(*_hashes(text, k, m)), lambda x: F.array_contains("_bits", x))
-    return df.join(F.broadcast(whole), F.lit(True)).withColumn("hit", F.when((F.coalesce(text, F.lit("")) != "") & hit, 1).otherwise(0)).drop("_bits")
+    hit = F.forall(F.array(*_hashes(F.col("_number"), k, m)), lambda x: F.array_contains("_bits", x))
+    numbered = df.select("*", _number(text)).join(F.broadcast(whole), F.lit(True))
+    return numbered.withColumn("hit", F.when((F.coalesce(text, F.lit("")) != "") & hit, 1).otherwise(0)).drop("_bits", "_number")
 
 
 def distinct_estimate(df: DataFrame, column: str, groups: int = 5, size: int = 10, bits: int = 9) -> DataFrame:
@@ -39,8 +45,8 @@ def distinct_estimate(df: DataFrame, column: str, groups: int = 5, size: int = 1
     """
     n = groups * size
     text = F.col(column).cast("string")
-    zeros = [F.max(hashing.trailing_zeros(h)).alias(f"r{i}") for i, h in enumerate(_hashes(text, n, 1 << bits))]
-    row = df.where(F.col(column).isNotNull()).select(F.col(column)).distinct().agg(*zeros)
+    zeros = [F.max(hashing.trailing_zeros(h)).alias(f"r{i}") for i, h in enumerate(_hashes(F.col("_number"), n, 1 << bits))]
+    row = df.where(F.col(column).isNotNull()).select(F.col(column)).distinct().select(_number(text)).agg(*zeros)
     means = [sum(F.pow(F.lit(2.0), F.col(f"r{g * size + j}")) for j in range(size)) / size for g in range(groups)]
     each = row.select(F.explode(F.array(*means)).alias("x"))
     return each.agg(F.coalesce(F.percentile("x", F.lit(0.5)), F.lit(0.0)).alias("estimate"))
