@@ -290,21 +290,36 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) by alternating large-star and small-star, materialised at each turn.
 
     Both stars only take minima per node (partial aggregation) and join them back, so a hub with any
-    number of links is no group in one task.
+    number of links is no group in one task. The smallest node of a component has no row.
     """
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    while True:
+    while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        seen = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u: then v is the smallest node of u's component."""
+    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    odd = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, comp after further links (a, b): only the components that these links join are searched."""
+    if comp is None:
+        return components(links)
+    ends = (comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    for x, end in zip("ab", ends, strict=True):
+        links = links.join(end, x, "left").withColumn(x, F.coalesce(f"c{x}", x)).select("a", "b")
+    roots = components(links)
+    moved = comp.join(roots.select(F.col("node").alias("comp"), F.col("comp").alias("root")), "comp", "left")
+    return materialize(moved.select("node", F.coalesce("root", "comp").alias("comp")).unionByName(roots), "components")
 
 
 def prefixes(found: DataFrame) -> DataFrame:
@@ -426,18 +441,15 @@ def join(docs: DataFrame) -> DataFrame:
     alive = materialize(kept.select("node").distinct().join(nodes, "node"), "alive")
     segs = materialize(segments(texts(alive, alive.count())), "segments")
     sizes = alive.select("node", "n")
-    edges = None
-    comp = sizes.select("node", F.col("node").alias("comp"))
+    links, alone = None, sizes.select("node", F.col("node").alias("comp"))
     for turn in range(ROUNDS):
-        near = hub_pairs(kept, comp, sizes, turn)
+        near = hub_pairs(kept, alone if links is None else links, sizes, turn)
         if near.isEmpty():
             break
-        more = linked(near, segs, alive)
-        edges = materialize(more if edges is None else edges.unionByName(more), "links")
-        comp = components(edges)
+        links = merged(links, materialize(linked(near, segs, alive), "links"))
     # whatever shares a signature across components is compared, all of it
-    more = linked(materialize(cross_pairs(across(kept, comp), segs, sizes), "near"), segs, alive)
-    comp = components(more if edges is None else edges.unionByName(more))
+    last = materialize(cross_pairs(across(kept, alone if links is None else links), segs, sizes), "near")
+    comp = merged(links, materialize(linked(last, segs, alive), "links"))
     whole = rows.join(standing.select("doc_id", F.struct("n", "d1", "d2").alias("s")), "doc_id", "left")
     named = whole.select("doc_id", F.col("n").alias("own"), "s").join(nodes.select(F.struct("n", "d1", "d2").alias("s"), "node"), "s", "left").join(comp, "node", "left")
     return named.select("doc_id", F.col("own").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))
