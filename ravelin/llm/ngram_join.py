@@ -425,21 +425,27 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     lean(docs.sparkSession)
     rows = materialize(measured(docs), "sizes")
-    standing = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s")).select("doc_id", "s.*")
-    nodes = standing.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(nodes.select(F.col("node").cast("long").alias("node"), "n", "d1", "d2"), "nodes")
-    count = nodes.agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).first()
+    standing = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s"), F.count(F.lit(1)).alias("rows"))
+    standing = standing.select("doc_id", "s.*", "rows")
+    nodes = standing.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.max("rows").alias("rows"))
+    nodes = materialize(nodes.select(F.col("node").cast("long").alias("node"), "n", "d1", "d2", "rows"), "nodes")
+    count = nodes.agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.max("rows").alias("rows")).first()
+    repeated = (count["rows"] or 0) > 1
     source = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
 
     def texts(wanted: DataFrame, n: int) -> DataFrame:
         wanted = wanted.select("node", "d1")
         return source.join(F.broadcast(wanted) if n <= MAX_BROADCAST_IDS else wanted, "node").select("node", "d1", "text")
 
+    def once(found: DataFrame, *key: str) -> DataFrame:
+        """Each row of a repeated id gives its set again: of those one counts."""
+        return found.dropDuplicates([*key]) if repeated else found
+
     buckets = max(1, -(-int((count["n"] or 0) * 0.6) // BUCKET))
-    found = materialize(shared_signatures(texts(nodes, count["c"]), buckets), "shared")
+    found = materialize(once(shared_signatures(texts(nodes, count["c"]), buckets), "sig", "node"), "shared")
     kept = materialize(prefixes(found), "kept")
     alive = materialize(kept.select("node").distinct().join(nodes, "node"), "alive")
-    segs = materialize(segments(texts(alive, alive.count())), "segments")
+    segs = materialize(once(segments(texts(alive, alive.count())), "node", "frag"), "segments")
     sizes = alive.select("node", "n")
     links, alone = None, sizes.select("node", F.col("node").alias("comp"))
     for turn in range(ROUNDS):

@@ -122,6 +122,21 @@ def test_ngram_join_odd(spark, odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 6, 8, None, 10, 12, 13}
 
 
+def test_ngram_join_counts_a_repeated_row_once(spark):
+    r = random.Random(9)
+    rows = []
+    for n in range(0, 60, 2):
+        base = [f"w{n}_{k}" for k in range(100)]
+        near = base[: 96 if n % 10 == 0 else 82 + n % 4]  # similarity 0.92 is a link, 0.68 to 0.71 is none
+        changed = [*near, *(f"x{n}_{k}" for k in range(100 - len(near)))] if n % 3 else near[:70]
+        rows += [(n, " ".join(base))] * r.choice([2, 3]) + [(n + 1, " ".join(changed))] * r.choice([1, 2])
+    rows += [(0, rows[0][1].upper())]  # another text, the same set
+    r.shuffle(rows)
+    got = {(x["doc_id"], x["n_shingles"], x["component_id"]) for x in ngram_join.join(docs_of(spark, rows)).collect()}
+    assert got == {(i, *x) for i, x in brute_components(rows).items()}
+    assert {x["doc_id"] for x in ngram_join.drop_near_copies(docs_of(spark, rows)).collect()} == {c for _, _, c in got}
+
+
 def test_sketches_never_overstate():
     r = np.random.default_rng(1)
     for _ in range(200):
