@@ -160,13 +160,13 @@ def modularity(original: DataFrame, clusters: DataFrame, current: DataFrame | No
     return each.agg(F.sum((F.coalesce("l", F.lit(0.0)) - (F.col("k1") * F.col("k1") - F.col("k2")) / F.col("m2")) / F.col("m2")).alias("modularity"))
 
 
-def split_communities(edges: DataFrame, max_rounds: int = 100, degree_source: str = "current") -> DataFrame:
-    """id, comp: drop the edge of highest betweenness (smallest (u, v) of equals) until modularity stops rising."""
+def split_communities(edges: DataFrame, degree_source: str = "current") -> DataFrame:
+    """id, comp: drop the edge of highest betweenness (smallest (u, v) of equals) until modularity stops rising or no edge is left."""
     if degree_source not in ("current", "original"):
         raise ValueError(f"degree_source must be 'current' or 'original', not {degree_source!r}")
     original = materialize(edges.select("u", "v"), "split")
     ids, now, best, found = vertices(original), original, None, None
-    for _ in range(max_rounds):
+    while True:
         top = betweenness(now).orderBy(F.desc(F.round("betweenness", 9)), "u", "v").first()
         if top is None:
             break

@@ -251,7 +251,7 @@ def modularity(spark, sf_dir):
 
 def gn_communities(spark, sf_dir):
     sets = _events_ratings(spark, sf_dir).select(F.col("user").alias("item"), F.col("item").alias("member"))
-    found = graph.split_communities(graph.co_graph(sets, 36), max_rounds=4)
+    found = graph.split_communities(graph.co_graph(sets, 36))
     return graph.ordered_communities(found).select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "size")
 
 

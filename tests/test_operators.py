@@ -129,6 +129,37 @@ def test_graph(spark):
         graph.split_communities(df, degree_source="x")
 
 
+def brute_split(edges):
+    """The communities before the first removal that does not raise modularity, and the number of removals."""
+    left, best, found, rounds = list(edges), None, None, 0
+    while left:
+        credit = brute_betweenness(left)
+        left.remove(min(left, key=lambda e: (-round(credit[e], 9), e)))
+        rounds += 1
+        groups = {frozenset([x]) for e in edges for x in e}
+        for u, v in left:
+            a, b = (next(g for g in groups if x in g) for x in (u, v))
+            groups = groups - {a, b} | {a | b}
+        k = {x: sum(x in e for e in left) for g in groups for x in g}
+        linked, m2 = set(edges), 2 * len(edges)
+        q = sum(2 * ((x, y) in linked) - 2 * k[x] * k[y] / m2 for g in groups for x, y in itertools.combinations(sorted(g), 2)) / m2
+        if best is not None and q <= best:
+            break
+        best, found = q, groups
+    return sorted(sorted(g) for g in found), rounds
+
+
+def test_communities_are_split_until_modularity_stops_rising(spark, sf_dir):
+    from ravelin.plans import queries
+
+    sets = queries._events_ratings(spark, sf_dir + "/../sf0.01").select(F.col("user").alias("item"), F.col("item").alias("member"))
+    edges = sorted((r["u"], r["v"]) for r in graph.co_graph(sets, 36).collect())
+    want, rounds = brute_split(edges)
+    assert rounds > 4
+    got = queries.gn_communities(spark, sf_dir + "/../sf0.01").collect()
+    assert sorted(sorted(int(x) for x in r["members"].split(",")) for r in got) == want
+
+
 def test_clustering(spark):
     r = random.Random(0)
     rows = [(i, [r.gauss(20 * (i % 3), 1), 5.0], f"chunk{i % 2}") for i in range(120)]
