@@ -184,11 +184,24 @@ def cf_user_model(spark, sf_dir):
     return _similar(recommend.user_model(materialize(_events_ratings(spark, sf_dir), "ratings"), 0.4))
 
 
-def cf_user_model_lsh(spark, sf_dir):
-    found = recommend.user_model(materialize(_events_ratings(spark, sf_dir), "ratings"), 0.4, exact=False, hashes=30, rows=2, m=26_184)
+def cf_user_model_all(spark, sf_dir):
+    """All pairs of the operator's own bounds, 0.01 and 3 common items; cf_user_model holds those from 0.4."""
+    return _similar(recommend.user_model(materialize(_events_ratings(spark, sf_dir), "ratings")))
+
+
+def _lsh_user_model(spark, sf_dir, jaccard: float):
+    found = recommend.user_model(materialize(_events_ratings(spark, sf_dir), "ratings"), jaccard, exact=False, hashes=30, rows=2, m=26_184)
     return _similar(found)
 
 
+def cf_user_model_lsh(spark, sf_dir):
+    return _lsh_user_model(spark, sf_dir, 0.4)
+
+
+def cf_user_model_lsh_all(spark, sf_dir):
+    return _lsh_user_model(spark, sf_dir, 0.01)
+
+
 def _wanted(spark, sf_dir):
     """The pairs of pending orders are to be predicted from all other orders."""
     return _reviews(spark, sf_dir, "l_suppkey").where("o_orderstatus = 'P'").select("user", "item").distinct()
@@ -201,16 +214,24 @@ def cf_item_predict(spark, sf_dir):
     return found.select("user", "item", F.round("stars", 5).alias("stars"))
 
 
-def cf_user_predict(spark, sf_dir):
+def _user_predictions(spark, sf_dir, jaccard: float):
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("user"), F.get_json_object("props", "$.k").cast("int").alias("item"), F.col("value").alias("stars"), "event_id", "event_type"
     ).where("item IS NOT NULL")
     ratings = materialize(recommend.latest_ratings(rows.where("event_type <> 'error'"), "event_id"), "ratings")
-    model = materialize(recommend.user_model(ratings, 0.4), "model")
+    model = materialize(recommend.user_model(ratings, jaccard), "model")
     found = recommend.predict_by_users(model, ratings, rows.where("event_type = 'error'"))
     return found.select("user", "item", F.round("stars", 5).alias("stars"))
 
 
+def cf_user_predict(spark, sf_dir):
+    return _user_predictions(spark, sf_dir, 0.4)
+
+
+def cf_user_predict_all(spark, sf_dir):
+    return _user_predictions(spark, sf_dir, 0.01)
+
+
 def co_graph(spark, sf_dir):
     return graph.co_graph(_sets(spark, sf_dir, "user", "item", "l_partkey"), 7)
 
@@ -350,8 +371,8 @@ QUERIES = {
     for f in (
         top_brands, review_count, year_count, distinct_users, top_users, top_words, category_avg, heavy_items, partition_sizes, item_index,
         filtered_sample, itemsets_1, itemsets_2, itemsets_3, itemsets_swapped, itemsets_filtered, itemset_candidates, itemset_report, fp_growth,
-        jaccard_exact, jaccard_lsh, lsh_banded, tfidf_profile, user_profile, content_predict, cf_item_model, cf_user_model, cf_user_model_lsh,
-        cf_item_predict, cf_user_predict, co_graph, graph_vertices, lpa_labels, communities, shortest_paths, betweenness, components, modularity,
+        jaccard_exact, jaccard_lsh, lsh_banded, tfidf_profile, user_profile, content_predict, cf_item_model, cf_user_model, cf_user_model_all, cf_user_model_lsh,
+        cf_user_model_lsh_all, cf_item_predict, cf_user_predict, cf_user_predict_all, co_graph, graph_vertices, lpa_labels, communities, shortest_paths, betweenness, components, modularity,
         gn_communities, cluster_statistics, kmeans_step, mahalanobis_assign, bfr, centre_distance, bloom_probe, fm_estimate, tag_top3, reservoir,
         stream_windows, stream_distinct, stream_report, clean_words,
     )

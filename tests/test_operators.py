@@ -94,6 +94,14 @@ def test_pearson_needs_variance(spark):
     assert recommend.pearson_model(spark.createDataFrame(rows, "user string, item string, stars double")).count() == 0
 
 
+def test_user_model_of_all_pairs_goes_below_the_cut(spark, sf_dir):
+    from ravelin.plans.queries import QUERIES
+
+    for name in ("cf_user_model", "cf_user_model_lsh"):
+        cut, whole = ({tuple(r) for r in QUERIES[n](spark, sf_dir).collect()} for n in (name, f"{name}_all"))
+        assert cut < whole
+
+
 def brute_betweenness(edges):
     near = {}
     for u, v in edges:
