@@ -234,3 +234,15 @@ GROUP BY ALL""",
 #: The same over all pairs that the reference takes.
 for _name in ("cf_user_model", "cf_user_model_lsh", "cf_user_predict"):
     ORACLES[f"{_name}_all"] = ORACLES[_name].replace(_jaccard_pairs(0.4, 3), _jaccard_pairs(0.01, 3))
+
+#: CTE found(items, n): every set of each basket's frequent items, grown by a larger item a step.
+_ALL_SETS = """WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS b, l_suppkey AS i FROM lineitem),
+f AS (SELECT i FROM b GROUP BY i HAVING count(*) >= 30), k AS (SELECT b, i FROM b JOIN f USING (i)),
+s AS (SELECT b, [i] AS items, i AS top FROM k UNION ALL SELECT s.b, list_append(s.items, k.i), k.i FROM s JOIN k ON k.b = s.b AND k.i > s.top),
+found AS (SELECT items, count(*) AS n FROM s GROUP BY items HAVING count(*) >= 30)"""
+ORACLES["fp_growth_all"] = f"{_ALL_SETS} SELECT array_to_string(items, ',') AS items, n FROM found"
+ORACLES["itemset_report_all"] = f"""{_ALL_SETS}, lines AS (
+  SELECT 0 AS k, 'Frequent Itemsets:' AS value
+  UNION ALL SELECT len(items), string_agg('(''' || array_to_string(items, ''', ''') || ''')', ',' ORDER BY list_transform(items, lambda x: CAST(x AS VARCHAR)))
+  FROM found GROUP BY len(items))
+SELECT value FROM lines"""

@@ -109,18 +109,33 @@ def itemset_candidates(spark, sf_dir):
     return found.select(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"))
 
 
-def itemset_report(spark, sf_dir):
+def _itemset_report(spark, sf_dir, max_size: int | None):
     from ..sources import sinks
 
-    found = itemsets.frequent_itemsets(_order_baskets(spark, sf_dir), 30, 2)
+    found = itemsets.frequent_itemsets(_order_baskets(spark, sf_dir), 30, max_size)
     return sinks.itemset_lines(found.withColumn("items", F.transform("items", lambda x: x.cast("string"))), "Frequent Itemsets")
 
 
+def itemset_report(spark, sf_dir):
+    return _itemset_report(spark, sf_dir, 2)
+
+
+def itemset_report_all(spark, sf_dir):
+    """Every size until none is frequent; itemset_report ends at pairs."""
+    return _itemset_report(spark, sf_dir, None)
+
+
 def fp_growth(spark, sf_dir):
     found = itemsets.fp_growth(_order_baskets(spark, sf_dir), 30).where(F.size("items") == 2)
     return found.select(F.get("items", F.lit(0)).alias("i1"), F.get("items", F.lit(1)).alias("i2"), "n")
 
 
+def fp_growth_all(spark, sf_dir):
+    """Itemsets of every size; fp_growth holds the pairs."""
+    found = itemsets.fp_growth(_order_baskets(spark, sf_dir), 30)
+    return found.select(F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("items"), "n")
+
+
 def _similar(found: DataFrame) -> DataFrame:
     return found.select("a", "b", F.round("sim", 6).alias("sim"))
 
@@ -370,7 +385,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         top_brands, review_count, year_count, distinct_users, top_users, top_words, category_avg, heavy_items, partition_sizes, item_index,
-        filtered_sample, itemsets_1, itemsets_2, itemsets_3, itemsets_swapped, itemsets_filtered, itemset_candidates, itemset_report, fp_growth,
+        filtered_sample, itemsets_1, itemsets_2, itemsets_3, itemsets_swapped, itemsets_filtered, itemset_candidates, itemset_report, itemset_report_all,
+        fp_growth, fp_growth_all,
         jaccard_exact, jaccard_lsh, lsh_banded, tfidf_profile, user_profile, content_predict, cf_item_model, cf_user_model, cf_user_model_all, cf_user_model_lsh,
         cf_user_model_lsh_all, cf_item_predict, cf_user_predict, cf_user_predict_all, co_graph, graph_vertices, lpa_labels, communities, shortest_paths, betweenness, components, modularity,
         gn_communities, cluster_statistics, kmeans_step, mahalanobis_assign, bfr, centre_distance, bloom_probe, fm_estimate, tag_top3, reservoir,

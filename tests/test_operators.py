@@ -72,6 +72,14 @@ def test_itemsets_against_brute_force_and_fp_growth(spark):
     assert lines[0] == "Frequent:" and lines[1].startswith("('i0')")
 
 
+def test_whole_itemset_queries_go_beyond_pairs(spark, sf_dir):
+    from ravelin.plans.queries import QUERIES
+
+    triples = [r for r in QUERIES["fp_growth_all"](spark, sf_dir).collect() if r["items"].count(",") == 2]
+    lines = [r["value"] for r in QUERIES["itemset_report_all"](spark, sf_dir).collect()]
+    assert len(triples) == 120 and lines[3].count("(") == 120
+
+
 def test_lsh_is_within_exact(spark):
     r = random.Random(2)
     sets = spark.createDataFrame([(a, m) for a in range(30) for m in r.sample(range(20), 8)], "item long, member long").distinct()
