@@ -233,12 +233,6 @@ def test_secrets(spark, odd, none):
     assert secrets.scan(none).count() == 0 and secrets.scan(odd).count() == len(ODD)
 
 
-def test_false_discovery_control():
-    counts = {(0, 400): 5, (0, 10): 5, (1, 3): 100}
-    cut = secrets.cutoffs(counts)
-    assert cut[0] == 400 and cut[1] == secrets.GRID
-
-
 def tricky_texts():
     r = random.Random(8)
     fixed = ["", " ", "  a", " a b ", "a\n b", "<s> </s> <|endoftext|>", "▁x ▁▁", "\x00\t", "é 😀", "=" * 400, "ab" * 999, LONG[:3000], "don't  we'll ", "　x y"]
