@@ -27,22 +27,6 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.expand(chat.with_tricky(spark, table(spark, sf_dir, "conversations"))))
 
 
-def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
-
-
-def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.digest(warc.resolve(warc.records_of_pages(table(spark, sf_dir, "pages"))))
-
-
-def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
-
-
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -71,14 +55,6 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
-def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack_documents(
-        table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    )
-
-
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
