@@ -309,15 +309,6 @@ def test_classifiers(spark, odd, none, operator, label):
     assert operator.score(odd, labels).count() == len(ODD)
 
 
-def test_label_model_discounts_copies_of_a_voter():
-    r = np.random.default_rng(0)
-    y = r.random(2000) < 0.3
-    good = [(r.random(2000) < np.where(y, 0.7, 0.05)) for _ in range(3)]
-    votes = np.stack([*good, good[0], good[0]], axis=1).astype(float)
-    post, rate, weight = toxicity.label_model(votes, 0.3, np.full(2000, -1))
-    assert weight[0] < 0.6 < weight[1] and ((post > 0.5) == y).mean() > 0.8
-
-
 def test_pipeline(spark, odd, sf_dir):
     import corpus_pipeline
 
