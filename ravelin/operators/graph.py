@@ -13,6 +13,8 @@ from . import similarity
 
 #: Edges of a graph that a task may hold as a whole (about 100 MB in Python); beyond it joins do the work.
 MAX_LOCAL_EDGES = 500_000
+#: Rows from which an id is a hub, whose minimum is broadcast; hubs at most.
+HUB, HUBS = 128, 100_000
 
 
 def co_graph(sets: DataFrame, least: int) -> DataFrame:
@@ -125,23 +127,45 @@ def _betweenness_by_root(edges: DataFrame) -> DataFrame:
     return parts.groupBy("u", "v").agg((F.sum("c") / 2).alias("betweenness"))
 
 
-def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """id, comp (smallest reachable id) by alternating large-star and small-star; isolated ``ids`` stand alone."""
-    pairs = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "stars")
-    seen = None
+def stars(edges: DataFrame) -> DataFrame:
+    """u, v (v the smallest id that u reaches) of all ids but each component's smallest, by alternating large-star and small-star.
+
+    Materialised at each turn; it ends once all components are stars, which one aggregation tells.
+    """
+    pairs = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     while True:
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        pairs = materialize(small.where("a <> b").distinct(), "stars")
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        ends = pairs.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        each = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        odd = F.sum(F.when((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1), 1).otherwise(0))
+        state = each.agg(odd.alias("odd"), F.sum("up").alias("n")).first()
+        if not state["odd"]:
+            return pairs
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_minima(both.where("v > u"), low, 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_minima(large, low, 2 * state["n"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        pairs = materialize(small.where("u <> v").distinct(), "stars")
+
+
+def _with_minima(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """rows (u, v) with m of ``low`` (u, m, n), n being u's number of rows, at most ``total`` in all.
+
+    The minima of hubs, at most HUBS of them, are broadcast; a hub's rows go on spread by v, so no hub
+    is a group in one task.
+    """
+    least = max(HUB, total // HUBS)
+    hubs = low.where(F.col("n") > least).select("u", F.col("m").alias("_hub"))
+    others = low.where(F.col("n") <= least).select("u", "m", F.lit(0).alias("_s"))
+    spread = F.when(F.col("_hub").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(1024)).cast("int"))
+    met = rows.join(F.broadcast(hubs), "u", "left").withColumn("_s", spread).join(others, ["u", "_s"], "left")
+    return met.select("u", "v", F.coalesce("_hub", "m").alias("m"))
+
+
+def components(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """id, comp (smallest reachable id); isolated ``ids`` stand alone."""
     every = vertices(edges) if ids is None else ids.select("id").union(vertices(edges)).distinct()
-    return every.join(pairs.select(F.col("a").alias("id"), F.col("b").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    return every.join(stars(edges).select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
 def modularity(original: DataFrame, clusters: DataFrame, current: DataFrame | None = None) -> DataFrame:
