@@ -4,11 +4,12 @@ A revisit record with a 304 answer has no body. It is resolved to the latest ear
 the same canonical URL; its validators must agree with that response's, and the response's headers are
 updated with those headers of the 304 answer that may update a stored response.
 
-The as-of join is done in two levels, so that a URL with a third of all records is no single task:
-records are reduced to one row per URL and instant, instants fall into BUCKETS equal slices of the
-whole time range, the last response before each is found within (URL, slice), and the last response of
-earlier slices, at most BUCKETS rows a URL, is carried in. Only narrow columns go through these windows;
-headers and bodies meet their revisit by record id at the end.
+The as-of join is done in two levels, so that a URL with a third of all records is no single task: records
+are reduced to one row per URL and instant, these are cut by range of (URL, instant) into slices of about
+SLICE rows, the last response before each is found within (slice, URL), and the last response of the slices
+before, at most one row a slice, is carried in. The ranges follow the rows, so one absurd time does no harm.
+Only narrow columns go through these windows; headers and bodies meet their revisit by record id at the end,
+where a response that many revisits need is copied once for every SHARE of them and these are dealt among the copies.
 
 Columns of records: record_id, kind ('response' or 'revisit'), url, time (long, e.g. microseconds),
 status int, headers map<string,string> (lower-case names), body string. Other columns are not read.
@@ -17,8 +18,9 @@ Defined cases: a response counts only with status 200 and strictly before the re
 one instant the one with the largest record_id. With an etag on both sides the etags decide (weak
 comparison), else with last-modified on both sides that; else the revisit has no validator. States are
 'resolved', 'no_response', 'mismatch', 'no_validator'. Only resolved ones get a body and headers. A null
-URL or time matches nothing ('no_response'); null headers are empty; of repeated record ids the
-responses must be unique. An empty table gives an empty result.
+URL or time matches nothing ('no_response'); null headers are empty. Rows that repeat a revisit are resolved
+each; of full responses with one record_id, URL and time the one with the largest (body, headers) counts. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from .common import materialize
+
+SLICE, SHARE = 500_000, 10_000
 # Fields that describe the stored body or one connection; a 304 answer may not change them.
 KEPT_HEADERS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive",
@@ -49,34 +53,61 @@ def _validators(h: Column) -> tuple[Column, Column]:
     return F.regexp_replace(F.get(F.map_values(F.map_filter(h, lambda k, _: k == "etag")), F.lit(0)), "^W/", ""), h["last-modified"]
 
 
-def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def as_of(dated: DataFrame, rows: int = SLICE) -> DataFrame:
+    """url_key, time, base_id, base_time: for every instant of a revisit the last response before it; others are left out.
+
+    dated: url_key, time, response (the record_id of a full response, or null), asked (1 for a revisit).
+    """
+    instants = materialize(dated.groupBy("url_key", "time").agg(F.max("response").alias("response"), F.max("asked").alias("asked")), "instants")
+    slices = max(1, -(-instants.count() // rows))
+    cut = instants.repartitionByRange(slices, "url_key", "time").select("*", F.spark_partition_id().alias("slice"))
+    answer = F.when(F.col("response").isNotNull(), F.struct("response", F.col("time").alias("at")))
+    cut = materialize(cut.withColumn("answer", answer), "slices")
+    within = Window.partitionBy("slice", "url_key").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    near = cut.withColumn("near", F.last("answer", ignorenulls=True).over(within))
+    # a URL goes on from one slice to the next, so only the first and last URL of each slice matter here
+    edges = F.broadcast(cut.groupBy("slice").agg(F.min("url_key").alias("first"), F.max("url_key").alias("final")))
+    ends = cut.join(edges, "slice").where("url_key = first OR url_key = final").groupBy("slice", "url_key").agg(F.max_by("answer", "answer.at").alias("last"))
+    earlier = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("slice", "url_key", F.last("last", ignorenulls=True).over(earlier).alias("far")).where("far IS NOT NULL")
+    met = near.where("asked = 1").join(F.broadcast(carried), ["slice", "url_key"], "left").withColumn("base", F.coalesce("near", "far"))
+    return met.where("base IS NOT NULL").select("url_key", "time", F.col("base.response").alias("base_id"), F.col("base.at").alias("base_time"))
+
+
+def _once(base: DataFrame) -> DataFrame:
+    """One row for each base_id, url_key and base_time; bodies are only grouped where ids repeat at all."""
+    key = ["base_id", "url_key", "base_time"]
+    if base.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return base
+    entries = F.array_sort(F.map_entries("stored"))
+    best = base.select(*key, F.struct("stored_body", entries.alias("entries")).alias("x")).groupBy(*key).agg(F.max("x").alias("x"))
+    return best.select(*key, F.map_from_entries("x.entries").alias("stored"), F.col("x.stored_body").alias("stored_body"))
+
+
+def resolve(records: DataFrame, rows_a_slice: int = SLICE, share: int = SHARE) -> DataFrame:
     """record_id, url_key, base_id, state, headers, body of every revisit."""
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     rows = records.select(
         "record_id", "kind", canonical(F.col("url")).alias("url_key"), F.col("time").cast("long").alias("time"),
         "status", F.coalesce("headers", none).alias("headers"), "body",
     )
-    full = (F.col("kind") == "response") & (F.col("status") == 200)
+    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
     dated = rows.where(F.col("url_key").isNotNull() & F.col("time").isNotNull())
-    span = dated.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()  # one row
-    low, width = span["low"] or 0, max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // buckets))
-    # one row per URL and instant: the response there, if any; partial aggregation is map-side
-    instants = dated.groupBy("url_key", "time").agg(
-        F.max(F.when(full, F.col("record_id"))).alias("response"), F.max((F.col("kind") == "revisit").cast("int")).alias("asked"),
-    ).withColumn("slice", F.floor((F.col("time") - low) / width).cast("int"))
-    within = Window.partitionBy("url_key", "slice").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    near = instants.withColumn("near", F.last("response", ignorenulls=True).over(within))
-    ends = instants.where("response IS NOT NULL").groupBy("url_key", "slice").agg(F.max_by("response", "time").alias("last"))
-    slices = instants.select("url_key", "slice").distinct().join(ends, ["url_key", "slice"], "left")
-    earlier = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select("url_key", "slice", F.last("last", ignorenulls=True).over(earlier).alias("far"))
-    asof = near.where("asked = 1").join(carried, ["url_key", "slice"]).select(
-        "url_key", "time", F.coalesce("near", "far").alias("base_id")
-    ).where("base_id IS NOT NULL")
+    found = as_of(dated.select(
+        "url_key", "time", F.when(full, F.col("record_id")).alias("response"), (F.col("kind") == "revisit").cast("int").alias("asked")
+    ), rows_a_slice)
     asked = rows.where("kind = 'revisit'").select("record_id", "url_key", "time", F.col("headers").alias("fresh"))
-    found = asked.join(asof, ["url_key", "time"], "left")
-    base = rows.where(full).select(F.col("record_id").alias("base_id"), F.col("headers").alias("stored"), F.col("body").alias("stored_body"))
-    both = found.join(base, "base_id", "left")
+    asked = asked.join(found, ["url_key", "time"], "left")
+    copies = F.ceil(F.count(F.lit(1)) / share).cast("int").alias("copies")
+    often = materialize(asked.where("base_id IS NOT NULL").groupBy("base_id").agg(copies).where("copies > 1"), "often")
+    often = F.broadcast(often)  # at most one id for every ``share`` revisits
+    dealt = asked.join(often, "base_id", "left")
+    dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("record_id", "time"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    base = _once(dated.where(full).select(
+        F.col("record_id").alias("base_id"), "url_key", F.col("time").alias("base_time"), F.col("headers").alias("stored"), F.col("body").alias("stored_body")
+    )).join(often, "base_id", "left")
+    base = base.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    both = dealt.join(base, ["base_id", "url_key", "base_time", "copy"], "left")
     (tag, since), (old_tag, old_since) = _validators(F.col("fresh")), _validators(F.col("stored"))
     agrees = F.when(tag.isNotNull() & old_tag.isNotNull(), tag == old_tag).when(since.isNotNull() & old_since.isNotNull(), since == old_since)
     state = (

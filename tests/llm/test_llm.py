@@ -199,8 +199,8 @@ def test_warc(spark):
         (8, "revisit", None, 30, 304, {}, None), (9, "revisit", "http://a.org/x?a=1&b=2", None, 304, {}, None), (10, "revisit", "http://a.org/x?a=1&b=2", 5, 304, {"etag": '"1"'}, None),
     ]
     data = spark.createDataFrame(rows, "record_id long, kind string, url string, time long, status int, headers map<string,string>, body string")
-    for buckets in (1, 4, 1024):
-        got = {r["record_id"]: r for r in warc.resolve(data, buckets).collect()}
+    for rows_a_slice, share in ((1, 1), (2, 10_000), (500_000, 10_000)):
+        got = {r["record_id"]: r for r in warc.resolve(data, rows_a_slice, share).collect()}
         assert {k: (r["state"], r["base_id"]) for k, r in got.items()} == {
             4: ("no_response", None), 5: ("resolved", 2), 6: ("mismatch", 1), 7: ("no_validator", 2), 8: ("no_response", None), 9: ("no_response", None), 10: ("no_response", None),
         }
@@ -208,6 +208,40 @@ def test_warc(spark):
     assert warc.resolve(data.limit(0)).count() == 0
 
 
+def brute_revisits(rows):
+    """(record_id, time) to (state, base_id, body) of every revisit, response by response."""
+    out = []
+    for i, kind, url, t, _, h, _ in rows:
+        if kind != "revisit":
+            continue
+        before = [x for x in rows if x[1] == "response" and x[4] == 200 and None not in (x[0], x[2], x[3], t) and x[2] == url and x[3] < t]
+        base = max(before, key=lambda x: (x[3], x[0], x[6] is not None, x[6] or "", sorted((x[5] or {}).items())), default=None)
+        h, old = h or {}, (base[5] or {}) if base else {}
+        state = "no_response" if base is None else next(
+            (("resolved" if h[k] == old[k] else "mismatch") for k in ("etag", "last-modified") if k in h and k in old), "no_validator")
+        out.append((i, t, state, base and base[0], base[6] if state == "resolved" else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_warc_against_brute_force(spark, seed):
+    """A hot URL, repeated ids and rows, ties in time, one absurd time, nulls and extra columns with clashing names."""
+    r = random.Random(seed)
+    rows = []
+    for _ in range(250):
+        kind = r.choice(["response", "revisit"])
+        url = r.choice(["http://hot.org/a"] * 6 + ["http://b.org/b", "http://c.org/c", None])
+        t = r.choice([r.randrange(60), r.randrange(60), 10**15, None] if r.random() < 0.2 else [r.randrange(60)])
+        headers = r.choice([None, {}, {"etag": f'"{r.randrange(3)}"'}, {"last-modified": f"d{r.randrange(3)}"}])
+        rows.append((r.choice([None, r.randrange(40), r.randrange(40)]), kind, url, t, r.choice([200, 200, 404]), headers, r.choice([None, "x", "y", ""])))
+    rows += rows[:40]
+    data = spark.createDataFrame([(*x, "s", 1, 2) for x in rows], "record_id long, kind string, url string, time long, status int, headers map<string,string>, body string, slice string, copy long, base_id long")
+    for rows_a_slice, share in ((7, 3), (500_000, 10_000)):
+        got = warc.resolve(data, rows_a_slice, share).collect()
+        want = brute_revisits(rows)
+        assert sorted(((x["record_id"], x["state"], x["base_id"], x["body"]) for x in got), key=str) == sorted(((i, *x) for i, _, *x in want), key=str)
+
+
 def test_secrets(spark, odd, none):
     r = random.Random(3)
     token = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=44))
