@@ -186,7 +186,65 @@ def test_decontamination(spark, odd, none):
     assert got[2, 3]["n_tiles"] == 2 and got[2, 3]["coverage"] == 1
     assert {x["doc_id"] for x in decontam.drop_contaminated(docs_of(spark, rows), bench).collect()} == {3, 5, 6}
     assert decontam.contaminated(none, bench).count() == decontam.contaminated(odd, bench.limit(0)).count() == 0
-    assert len(decontam.blocks(bench, 100)) > 3
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.contaminated(docs_of(spark, rows), bench, broadcast=0).collect()} == got.keys()
+
+
+def brute_tiles(doc, item, least):
+    """Greedy string tiling as it is defined: of all longest unmarked matches the first (by place in doc, then item) again and again."""
+    free_doc, free_item, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while j + n < len(doc) and i + n < len(item) and doc[j + n] == item[i + n] and free_doc[j + n] and free_item[i + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, j, i)
+        n, j, i = best
+        if n < least:
+            return tiles
+        free_doc[j : j + n], free_item[i : i + n] = [False] * n, [False] * n
+        tiles.append((j, i, n))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decontamination_against_brute_force(spark, seed):
+    """Rows, coverage, number of tiles and the longest one, by broadcast and by seeds; periodic texts, repeated ids and items."""
+    r = random.Random(seed)
+    vocabulary = [f"w{k}" for k in range(6 if seed % 2 else 60)]
+    items = [(k % 9, " ".join(r.choices(vocabulary, k=r.choice([1, 3, 5, 8, 20, 45])))) for k in range(12)]
+    items += [items[0], (20, "la la la la la la la la"), (21, "w1 w2 w1 w2 w1 w2 w1 w2 w1 w2"), (22, None)]
+    rows = []
+    for k in range(25):
+        w = r.choices([*vocabulary, "x", "y"], k=r.randrange(40))
+        for _, t in r.sample(items[:-1], 2):
+            q = t.split()
+            a = r.randrange(len(q))
+            w[r.randrange(len(w) + 1) : 0] = (q[a:] + q[:a]) if r.random() < 0.7 else q[a:]
+        rows.append((k % 20, " ".join(w)))
+    rows += [(30, "la " * 60), (31, "W1, w2! " * 30), (31, "w1 w2 " * 30), (32, None), (None, rows[0][1])]
+    want = []
+    for i, t in rows:
+        for k, it in items:
+            doc, item = decontam.words(t or ""), decontam.words(it or "")
+            tiles = brute_tiles(doc, item, min(5, len(item))) if doc and item else []
+            covered = sum(n for *_, n in tiles) / len(item) if item else 0
+            if tiles and covered >= 0.5:
+                want.append((i, k, round(covered, 9), len(tiles), max(n for *_, n in tiles)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for broadcast in (decontam.BROADCAST, 0):
+        found = decontam.contaminated(docs_of(spark, rows), bench, broadcast=broadcast).collect()
+        assert sorted(((x[0], x[1], round(x[2], 9), x[3], x[4]) for x in found), key=str) == sorted(want, key=str)
+
+
+def test_periodic_texts_end_soon():
+    import time
+
+    item = " ".join(["a b"] * 400)
+    began = time.time()
+    assert decontam.Items([(1, item)], 5).matches("a b " * 4000, 0.5) == [(0, 1.0, 1, 800)]
+    assert time.time() - began < 5
 
 
 def test_warc(spark):
