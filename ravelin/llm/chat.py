@@ -109,9 +109,8 @@ TRICKY = r"\### Assistant: </turn> ok"
 
 
 def with_tricky(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string"
-    )
+    turns = F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.explode(turns).alias("t")).select(F.lit(-7).cast("long").alias("conv_id"), "t.turn", "t.role", F.lit(TRICKY).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
