@@ -4,9 +4,10 @@ Tokenising gives one narrow row per piece: a document longer than a sequence is
 of which only the first may be shorter. Full pieces are sequences of their own. All others are dealt at
 random into blocks of about BLOCK pieces, each packed by itself: best-fit decreasing first, and where
 that misses the lower bound, islands of packings evolve. Crossover injects whole well-filled bins of
-one parent into the other, drops the other's bins that hold a piece twice, and best-fits the displaced
-pieces; mutation empties some badly filled bins. Between epochs each island's elite moves to the next
-island of its block. The badly filled bins of all blocks then meet in new blocks and are packed again.
+one parent into the other, drops the other's bins that hold a piece twice, exchanges displaced pieces for
+smaller ones where that fills a bin, and best-fits the rest; mutation empties some badly filled bins. Between
+epochs each island's elite moves to the next island of its block; a block goes on as long as an epoch saves a
+bin for it. The badly filled bins of all blocks then meet in new blocks and are packed again.
 A block is bounded whatever the keys look like (pieces are dealt by row, not by id), so work per task
 is constant and the number of tasks follows the input.
 
@@ -18,10 +19,11 @@ not read.
 from __future__ import annotations
 
 import base64
+import itertools
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import lean, materialize, text_of, trim
 
 CAPACITY, BLOCK = 2048, 4096
-#: Islands a block, epochs, generations an epoch, packings an island, elites that move.
-ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 2, 40, 8, 2
+#: Islands a block, most epochs, generations an epoch, packings an island, elites that move.
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 6, 100, 8, 2
+#: Bins and loose pieces that one exchange looks at.
+TRIED = 40
 #: Bins filled less than this meet again across blocks.
 WELL_FILLED = 0.97
 #: Chunks that a worker remembers with their ids; the memory is emptied when it is full.
@@ -196,18 +200,58 @@ def compact(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1]
 
 
-def repack(lengths: np.ndarray, bins: np.ndarray, loose: np.ndarray) -> np.ndarray:
-    """The packing with the pieces ``loose`` taken out and best-fitted again."""
+def repack(lengths: np.ndarray, bins: np.ndarray, loose: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The packing with the pieces ``loose`` taken out, exchanged for smaller ones where that fills a bin, and the rest best-fitted."""
     out = bins.copy()
     out[loose] = -1
     kept = out >= 0
     out[kept] = compact(out[kept])
+    exchange(lengths, out, rng)
+    kept = out >= 0
     fill = np.bincount(out[kept], lengths[kept]).astype(int).tolist() if kept.any() else []
-    at = np.flatnonzero(loose)
+    at = np.flatnonzero(~kept)
     best_fit(lengths, at[np.argsort(-lengths[at], kind="stable")], out, fill)
     return out
 
 
+def exchange(lengths: np.ndarray, bins: np.ndarray, rng: np.random.Generator, capacity: int = CAPACITY) -> None:
+    """One or two loose pieces (bin -1) for one or two smaller ones of a bin, the best fit first; bins is changed.
+
+    Every exchange makes a bin fuller and what is left over smaller, which is easier to place. At most
+    TRIED open bins and TRIED loose pieces are looked at in one call.
+    """
+    loose = np.flatnonzero(bins < 0)
+    if not len(loose) or len(loose) == len(bins):
+        return
+    kept = np.flatnonzero(bins >= 0)
+    fill = np.bincount(bins[kept], lengths[kept]).astype(int)
+    open_ = np.flatnonzero(fill < capacity)
+    if not len(open_):
+        return
+    looked = np.zeros(len(fill), bool)
+    looked[rng.permutation(open_)[:TRIED]] = True
+    held: dict[int, list[int]] = {}
+    for i in kept[looked[bins[kept]]].tolist():
+        held.setdefault(int(bins[i]), []).append(i)
+    size = lengths.tolist()
+    loose = rng.permutation(loose)[:TRIED].tolist()
+    offers = sorted([(size[i], (i,)) for i in loose] + [(size[i] + size[j], (i, j)) for k, i in enumerate(loose) for j in loose[:k] if size[i] + size[j] <= capacity], key=lambda x: x[0])
+    sums = np.array([n for n, _ in offers])
+    places = [(int(sum(size[i] for i in one)), one, b) for b, items in held.items() for one in [*((i,) for i in items), *itertools.combinations(items[:8], 2)]]
+    at = np.searchsorted(sums, np.array([n + capacity - fill[b] for n, _, b in places]), "right") - 1
+    gain = np.where(at >= 0, sums[at] - np.array([n for n, _, _ in places]), 0)
+    gone, changed = set(), set()
+    for k in np.argsort(-gain, kind="stable").tolist():
+        if gain[k] <= 0:
+            break
+        _, one, b = places[k]
+        new = offers[at[k]][1]
+        if b not in changed and not gone.intersection(new):
+            bins[list(new)], bins[list(one)] = b, -1
+            gone.update(new)
+            changed.add(b)
+
+
 def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Whole well-filled bins of b come into a; a's bins with a piece of them go; what they held is best-fitted."""
     fill = np.bincount(b, lengths)
@@ -216,13 +260,14 @@ def crossover(lengths: np.ndarray, a: np.ndarray, b: np.ndarray, rng: np.random.
     injected = np.isin(b, good)
     broken = np.isin(a, a[injected]) & ~injected
     child = np.where(injected, b + a.max() + 1, a)
-    return repack(lengths, child, broken)
+    return repack(lengths, child, broken, rng)
 
 
 def mutate(lengths: np.ndarray, bins: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A few bins, badly filled ones above all, are emptied and their pieces placed again."""
     fill = np.bincount(bins, lengths)
-    worst = np.argsort(fill * rng.uniform(0.8, 1.0, len(fill)))[: max(2, len(fill) // 50)]
-    return repack(lengths, bins, np.isin(bins, worst))
+    worst = np.argsort(fill * rng.uniform(0.7, 1.0, len(fill)))[: rng.integers(2, 3 + max(4, len(fill) // 50))]
+    return repack(lengths, bins, np.isin(bins, worst), rng)
 
 
 def evolve(lengths: np.ndarray, start: list[np.ndarray], seed: int) -> list[np.ndarray]:
@@ -237,13 +282,12 @@ def evolve(lengths: np.ndarray, start: list[np.ndarray], seed: int) -> list[np.n
         group.sort(key=lambda x: x[0], reverse=True)
         if -group[0][0][0] <= bound:
             break
-        i, j = rng.choice(min(4, len(group))), rng.choice(len(group))
-        child = crossover(lengths, group[i][1], group[j][1], rng) if i != j else group[i][1]
-        child = mutate(lengths, child, rng)
-        score = fitness(lengths, child)
-        if score > group[-1][0]:
-            group[-1] = (score, child)
-    group.sort(key=lambda x: x[0], reverse=True)
+        i, j = sorted(rng.choice(len(group), 2, replace=False))
+        for child in (crossover(lengths, group[i][1], group[j][1], rng), mutate(lengths, group[rng.choice(3)][1], rng)):
+            score = fitness(lengths, child)
+            if score > group[-1][0] and all(score != x for x, _ in group):  # a copy adds nothing
+                group[-1] = (score, child)
+                group.sort(key=lambda x: x[0], reverse=True)
     return [compact(p) for _, p in group[:ELITES]]
 
 
@@ -267,11 +311,11 @@ def pack_blocks(items: DataFrame, blocks: int) -> DataFrame:
         return pa.table({
             "block": pa.array([key[0].as_py()], pa.int64()), "uids": pa.array([uid.astype("<i8").tobytes()], pa.binary()),
             "lengths": pa.array([_bytes(lengths)], pa.binary()), "bins": pa.array([_bytes(bins)], pa.binary()),
-            "open": pa.array([int(bins.max()) + 1 > lower_bound(lengths)], pa.bool_()),
+            "used": pa.array([int(bins.max()) + 1], pa.int32()), "open": pa.array([int(bins.max()) + 1 > lower_bound(lengths)], pa.bool_()),
         })
 
-    state = "block long, uids binary, lengths binary, bins binary, open boolean"
-    first = materialize(dealt.groupBy("block").applyInArrow(seed_block, state), "blocks")
+    shape = "block long, uids binary, lengths binary, bins binary, used int, open boolean"
+    first = materialize(dealt.groupBy("block").applyInArrow(seed_block, shape), "blocks")
 
     def epoch(number: int):
         def run(key, table):
@@ -280,22 +324,33 @@ def pack_blocks(items: DataFrame, blocks: int) -> DataFrame:
             start = sorted({x.as_py() for x in table["bins"]})
             best = [_bytes(p) for p in evolve(lengths, [_ints(x) for x in start], (block * 31 + island) * 31 + number)]
             to = [island] * len(best) + [(island + 1) % ISLANDS]  # the elite stays, its best also moves on
+            used = [len(set(_ints(x).tolist())) for x in (*best, best[0])]
             return pa.table({
                 "block": pa.array([block] * len(to), pa.int64()), "island": pa.array(to, pa.int32()),
                 "lengths": pa.array([table["lengths"][0].as_py()] * len(to), pa.binary()), "bins": pa.array([*best, best[0]], pa.binary()),
+                "used": pa.array(used, pa.int32()), "bound": pa.array([lower_bound(lengths)] * len(to), pa.int32()),
             })
         return run
 
     islands = first.where("open").select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", "bins")
+    reached, ends = first.where("open").select("block", F.col("used").alias("before")), []
     for number in range(EPOCHS):
-        islands = islands.groupBy("block", "island").applyInArrow(epoch(number), "block long, island int, lengths binary, bins binary")
+        grown = "block long, island int, lengths binary, bins binary, used int, bound int"
+        now = materialize(islands.groupBy("block", "island").applyInArrow(epoch(number), grown), "islands")
+        ends.append(now.select("block", "lengths", "bins"))
+        # blocks that an epoch gains nothing for, or that meet the bound, are done
+        state = now.groupBy("block").agg(F.min("used").alias("now"), F.max("bound").alias("bound")).join(reached, "block").where("now < before AND now > bound")
+        state = materialize(state.select("block", F.col("now").alias("before")), "gained")
+        if state.isEmpty():
+            break
+        islands, reached = now.join(state, "block", "left_semi"), state
 
     def best_of(key, table):
         lengths = _ints(table["lengths"][0].as_py())
         best = max((fitness(lengths, _ints(x)), x) for x in {y.as_py() for y in table["bins"]})[1]
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "better": pa.array([best], pa.binary())})
 
-    best = islands.groupBy("block").applyInArrow(best_of, "block long, better binary")
+    best = reduce(DataFrame.unionByName, ends).groupBy("block").applyInArrow(best_of, "block long, better binary")
     ended = first.join(best, "block", "left").select("block", "uids", "lengths", F.coalesce("better", "bins").alias("bins"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -375,16 +375,47 @@ def test_packing(spark, odd, none):
     assert queries.packed(none).count() == 0 and queries.packed(odd).select("doc_id").count() >= len(ODD)
 
 
+def valid(lengths, bins):
+    assert (bins >= 0).all() and len(bins) == len(lengths) and np.bincount(bins, lengths).max() <= packing.CAPACITY
+
+
 def test_genetic_packing():
     r = np.random.default_rng(0)
     lengths = r.integers(300, 1100, 400)
     first = packing.first_packing(lengths)
     best = packing.evolve(lengths, [first], 1)
     for p in best:
-        assert np.bincount(p, lengths).max() <= packing.CAPACITY and len(p) == 400
-    assert packing.lower_bound(lengths) <= best[0].max() + 1 <= first.max() + 1
+        valid(lengths, p)
+    assert packing.lower_bound(lengths) <= best[0].max() + 1 < first.max() + 1
     child = packing.crossover(lengths, first, best[0], r)
-    assert (child >= 0).all() and np.bincount(child, lengths).max() <= packing.CAPACITY
+    valid(lengths, child)
+    for _ in range(30):
+        child = packing.mutate(lengths, child, r)
+        valid(lengths, child)
+    # whole bins of the second parent are in the child, as they are
+    child = packing.crossover(lengths, first, best[0], np.random.default_rng(3))
+    groups = lambda p: {frozenset(np.flatnonzero(p == b).tolist()) for b in set(p.tolist())}
+    assert len(groups(child) & groups(best[0])) > 10
+
+
+def test_genetic_packing_reaches_known_optima(spark):
+    """Pieces cut from full sequences: best-fit decreasing misses their number, the islands reach it."""
+    r = np.random.default_rng(5)
+    lengths = []
+    for _ in range(150):
+        a = int(r.integers(520, 900))
+        b = int(r.integers(420, (2048 - a) // 2 + 100))
+        lengths += [a, b, 2048 - a - b]
+    lengths = np.array(lengths)
+    before = packing.first_packing(lengths).max() + 1
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "uid long, length long")
+    rows = packing.pack_blocks(items, 1).collect()
+    used = len({r["bin"] for r in rows})
+    assert sorted(r["uid"] for r in rows) == list(range(450)) and 150 <= used <= 152 < before
+    fill = defaultdict(int)
+    for x in rows:
+        fill[x["bin"]] += x["length"]
+    assert max(fill.values()) <= packing.CAPACITY
 
 
 @pytest.mark.parametrize(("operator", "label"), [(toxicity, "toxic"), (quality, "quality")])
