@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join by vertical partitioning, and its connected components.
 
 A document's set holds the 64-bit hashes of its distinct 5-word shingles; their order as numbers is the
-global n-gram order. That order is cut into fragments (ranges), and documents are compared fragment by
+global n-gram order. Sizes and overlaps are those of the hashes: exact unless two n-grams of the compared
+documents share a 64-bit hash. That order is cut into fragments (ranges), and documents are compared fragment by
 fragment:
 
 * Candidates. Two sets with Jaccard similarity 0.8 or more differ in at most n/4 n-grams, n being the
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import stars
 from .common import MAX_BROADCAST_IDS, lean, materialize, text_of, trim, without
 
 WORDS = 5
@@ -238,7 +240,8 @@ def shared_signatures(rows: DataFrame, buckets: int) -> DataFrame:
         })
 
     blobs = rows.mapInArrow(emit, "bucket long, sig binary, node binary, kind binary, need binary, known binary")
-    return blobs.groupBy("bucket").applyInArrow(gather, "sig long, node long, kind int, need int")
+    # as many tasks as buckets, so that a task holds about one at any size of the input
+    return blobs.repartition(buckets + 7, "bucket").groupBy("bucket").applyInArrow(gather, "sig long, node long, kind int, need int")
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -287,27 +290,8 @@ def linked(pairs: DataFrame, segs: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node reachable) by alternating large-star and small-star, materialised at each turn.
-
-    Both stars only take minima per node (partial aggregation) and join them back, so a hub with any
-    number of links is no group in one task. The smallest node of a component has no row.
-    """
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while not are_stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").distinct(), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-
-
-def are_stars(edges: DataFrame) -> bool:
-    """Whether each u has one v, and no v is a u: then v is the smallest node of u's component."""
-    ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    odd = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
-    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+    """node, comp (smallest node reachable); the smallest node of a component has no row."""
+    return stars(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
 def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -401,8 +385,10 @@ def _pairs_of(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
             at = np.flatnonzero(ok) + k + 1
             differ = np.bitwise_count(matrix[at] ^ matrix[k]).sum(axis=1, dtype=np.int64)
             at = at[9 * differ <= n[g][at] + n[i + k]]
-            out += [(min(x, y), max(x, y)) for x, y in zip(node[g][at].tolist(), [int(node[i + k])] * len(at), strict=True)]
-    pairs = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+            out.append(np.stack([np.minimum(node[g][at], node[i + k]), np.maximum(node[g][at], node[i + k])], axis=1))
+            if len(out) >= 4096:
+                out = [np.unique(np.concatenate(out), axis=0)]
+    pairs = np.unique(np.concatenate(out), axis=0).astype(np.int64) if out else np.zeros((0, 2), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
