@@ -34,10 +34,8 @@ def affine_plain(x: Column, a: int, b: int, m: int) -> Column:
 
 def text_number(text: Column, p: int) -> Column:
     """The UTF-8 bytes as one big-endian number, modulo p (p below 2**31); 0 for an empty text."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-    step = lambda acc, i: (acc * 256 + F.conv(F.substring(digits, i * 2 - 1, F.lit(2)), 16, 10).cast("long")) % p
-    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(text), F.lit(1))), F.lit(0).cast("long"), step)
-    return F.when(text == "", F.lit(0).cast("long")).otherwise(whole)
+    bytes_ = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.aggregate(bytes_, F.lit(0).cast("long"), lambda acc, x: (acc * 256 + F.conv(x, 16, 10).cast("long")) % p)
 
 
 def trailing_zeros(x: Column) -> Column:

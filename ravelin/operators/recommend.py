@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors
+from ..sources.storage import materialize
 from . import similarity
 
 
@@ -17,6 +18,7 @@ def term_scores(docs: DataFrame, key: str, column: str, stopwords=tx.STOPWORDS,
     """
     words = tx.clean_words(F.coalesce(F.col(column), F.lit("")), stopwords, False, tx.delete_punctuation_digits)
     counts = docs.select(F.col(key).alias("key"), F.explode(words).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts, "term-counts")
     every = counts.groupBy("term").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("df"))
     sums = every.agg(F.sum("total").alias("tokens")).join(docs.select(key).distinct().agg(F.count(F.lit(1)).alias("keys")), F.lit(True))
     common = every.join(F.broadcast(sums), F.lit(True)).where(F.col("total") / F.col("tokens") >= rare).select("term", F.log2(F.col("keys") / F.col("df")).alias("idf"))
@@ -89,6 +91,15 @@ def predict_by_items(model: DataFrame, ratings: DataFrame, wanted: DataFrame, ne
     return sums.select("user", "item", F.try_divide("w", "s").alias("stars")).where("stars IS NOT NULL")
 
 
+def predict(mode: str, ratings: DataFrame, wanted: DataFrame, neighbours: int = 5, **model) -> DataFrame:
+    """Model and predictions by the name of the mode: 'item_based' or 'user_based'."""
+    if mode == "item_based":
+        return predict_by_items(materialize(pearson_model(ratings, **model), "model"), ratings, wanted, neighbours)
+    if mode == "user_based":
+        return predict_by_users(materialize(user_model(ratings, **model), "model"), ratings, wanted, neighbours)
+    raise ValueError(f"mode must be 'item_based' or 'user_based', not {mode!r}")
+
+
 def predict_by_users(model: DataFrame, ratings: DataFrame, wanted: DataFrame, neighbours: int = 5) -> DataFrame:
     """user, item, stars: the user's mean plus the weighted offsets of similar users who rated the item.
 
@@ -97,7 +108,8 @@ def predict_by_users(model: DataFrame, ratings: DataFrame, wanted: DataFrame, ne
     own = ratings.groupBy("user").agg(F.avg("stars").alias("mean"))
     total = ratings.groupBy(F.col("user").alias("other")).agg(F.sum("stars").alias("total"), F.count(F.lit(1)).alias("n"))
     rated = ratings.select(F.col("user").alias("other"), "item", F.col("stars").alias("r"))
-    met = wanted.select("user", "item").distinct().join(rated, "item").join(both_ways(model).withColumnRenamed("one", "user"), ["user", "other"])
+    # the model first: a user has few neighbours, an item may have any number of raters
+    met = wanted.select("user", "item").distinct().join(both_ways(model).withColumnRenamed("one", "user"), "user").join(rated, ["other", "item"])
     near = _nearest(met.join(total.where("n > 1"), "other"), neighbours)
     off = F.col("r") - (F.col("total") - F.col("r")) / (F.col("n") - 1)
     sums = near.groupBy("user", "item").agg(F.sum(off * F.col("sim")).alias("w"), F.sum(F.abs("sim")).alias("s"))

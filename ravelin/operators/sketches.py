@@ -27,11 +27,16 @@ def bloom_bits(df: DataFrame, column: str, m: int = 10_000, k: int = 5) -> DataF
 def bloom_probe(df: DataFrame, column: str, bits: DataFrame, m: int = 10_000, k: int = 5) -> DataFrame:
     """All columns and ``hit``: 1 if all k bits are set, 0 for null and empty values.
 
-    The bits are at most m numbers, so they come as one array to every row.
+    The bits come to every row as one array of m / 64 numbers of 64 bits, of which each hash reads one.
     """
     text = F.col(column).cast("string")
-    whole = bits.agg(F.collect_set("bit").alias("_bits"))
-    hit = F.forall(F.array(*_hashes(F.col("_number"), k, m)), lambda x: F.array_contains("_bits", x))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
+    every = df.sparkSession.range(-(-m // 64)).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    whole = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("_bits"))
+    known = lambda x: F.getbit(F.get("_bits", F.shiftright(x, 6).cast("int")), (x % 64).cast("int")) == 1
+    hit = F.lit(True)
+    for x in _hashes(F.col("_number"), k, m):
+        hit = hit & known(x)
     numbered = df.select("*", _number(text)).join(F.broadcast(whole), F.lit(True))
     return numbered.withColumn("hit", F.when((F.coalesce(text, F.lit("")) != "") & hit, 1).otherwise(0)).drop("_bits", "_number")
 
@@ -59,8 +64,11 @@ def top_frequencies(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     return counts.join(F.broadcast(levels), "n", "left_semi").select("value", "n")
 
 
-def reservoir(df: DataFrame, key: str, size: int = 100, seed: int = 3) -> DataFrame:
-    """A uniform sample of ``size`` rows: the smallest seeded hashes of the key (bottom-k)."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+def drawn(key: str, seed: int) -> Column:
+    """What a seeded draw goes by: the digest of seed and key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def reservoir(df: DataFrame, key: str, size: int = 100, seed: int = 3) -> DataFrame:
+    """A uniform sample of ``size`` rows: the smallest seeded digests of the key (bottom-k)."""
+    return df.orderBy(drawn(key, seed), key).limit(size)

@@ -13,6 +13,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an input, by the optimizer's estimate, up to which it may be dealt again.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input in fewer partitions than there are cores, dealt evenly among them; any other input as it is.
+
+    One small file is one task, which costly work on each row would keep a single core busy with. Larger
+    inputs have partitions enough, so they are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, bad_rows: str | None = None) -> DataFrame:
     """JSON lines with a known schema; malformed lines become nulls, kept in column ``bad_rows`` if asked for."""
     read = spark.read.option("mode", "PERMISSIVE")
