@@ -7,13 +7,15 @@ each of the k (or 3 k) clusters, never points.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..sources.storage import materialize
+from ..sources.storage import fresh_path, materialize
+from . import sketches
 
 
 @dataclass
@@ -37,33 +39,28 @@ class Summary:
 
 
 def sample(points: DataFrame, share: float, seed: int = 7) -> DataFrame:
-    """Exactly int(n * share) points, without replacement, by seeded hash."""
+    """Exactly int(n * share) points, without replacement, by seeded digest of the id."""
     n = int(points.count() * share)
-    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return points.orderBy(sketches.drawn("id", seed), "id").limit(n)
 
 
-def first_centres(points: DataFrame, k: int, seed: int = 11) -> list[np.ndarray]:
-    """k distinct points by seeded hash (fewer if there are fewer)."""
-    rows = points.select("vec").distinct().orderBy(F.xxhash64("vec", F.lit(seed))).limit(k).collect()
-    return [np.array(r["vec"], float) for r in rows]
-
-
-def _literal(v: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
-
-
-def nearest(centres: dict[int, np.ndarray], sds: dict[int, np.ndarray] | None = None) -> Column:
-    """struct(dist, cluster) of the nearest centre; of equal ones the smallest cluster. sds: Mahalanobis."""
-    each = []
-    for c, centre in sorted(centres.items()):
-        d = vectors.euclidean(F.col("vec"), _literal(centre)) if sds is None else vectors.mahalanobis(F.col("vec"), _literal(centre), _literal(sds[c]))
-        each.append(F.struct(F.round(d, 9).alias("dist"), F.lit(c).alias("cluster")))
-    return F.array_min(F.array(*each))
+def first_centres(points: DataFrame, k: int, seed: int = 11) -> DataFrame:
+    """id, vec of k points with distinct places by seeded digest (fewer if there are fewer)."""
+    first = points.groupBy("vec").agg(F.min(F.struct(sketches.drawn("id", seed).alias("h"), F.col("id").alias("id"))).alias("x"))
+    return first.orderBy("x.h", "x.id").limit(k).select("x.id", "vec")
 
 
 def assign(points: DataFrame, centres: dict[int, np.ndarray], sds: dict[int, np.ndarray] | None = None) -> DataFrame:
-    """id, vec, cluster, dist."""
-    found = points.select("id", "vec", nearest(centres, sds).alias("_n"))
+    """id, vec, cluster, dist: the nearest centre, of equal ones the smallest cluster. sds: Mahalanobis.
+
+    The centres come to every row as one broadcast array, so the plan does not grow with them.
+    """
+    shape = "array<struct<cluster:int,centre:array<double>,sd:array<double>>>"
+    table = [(int(c), [float(x) for x in v], [float(x) for x in (v if sds is None else sds[c])]) for c, v in sorted(centres.items())]
+    sets = points.sparkSession.createDataFrame([(table,)], f"_sets {shape}")
+    far = (lambda x: vectors.euclidean(F.col("vec"), x["centre"])) if sds is None else (lambda x: vectors.mahalanobis(F.col("vec"), x["centre"], x["sd"]))
+    each = F.transform("_sets", lambda x: F.struct(F.round(far(x), 9).alias("dist"), x["cluster"].alias("cluster")))
+    found = points.select("id", "vec").join(F.broadcast(sets), F.lit(True)).select("id", "vec", F.array_min(each).alias("_n"))
     return found.select("id", "vec", F.col("_n.cluster").alias("cluster"), F.col("_n.dist").alias("dist"))
 
 
@@ -97,7 +94,7 @@ def k_means(points: DataFrame, k: int, tolerance: int = 10, max_rounds: int = 10
 
     The first round compares with sizes of 0; clusters that lose all points disappear.
     """
-    centres = dict(enumerate(first_centres(points, k)))
+    centres = {c: np.array(r["vec"], float) for c, r in enumerate(first_centres(points, k).collect())}
     sizes = dict.fromkeys(centres, 0)
     found = {}
     for _ in range(max_rounds):
@@ -128,57 +125,65 @@ def _scaled(x: np.ndarray, t: Summary) -> float:
     return float(np.sqrt((((x - t.centre) / np.where(sd == 0, 1, sd)) ** 2).sum()))
 
 
-def out_of_core(points: DataFrame, k: int, share: float = 0.2) -> tuple[DataFrame, list[tuple[int, int, int, int, int]]]:
-    """Labels (id, cluster or -1) and round statistics of a chunked pass over points (id, vec, chunk).
+#: Columns of the round statistics.
+ROUND = "round_id int, nof_cluster_discard int, nof_point_discard long, nof_cluster_compression int, nof_point_compression long, nof_point_retained long"
+
+
+def out_of_core(points: DataFrame, k: int, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Labels (id, cluster or -1) and round statistics (ROUND) of a chunked pass over points (id, vec, chunk).
 
     The first chunk makes the discard set (k-means on a sample) and the compression set (k-means with 3 k
     on the rest; singletons are retained). In later chunks a point joins the nearest discard cluster
-    within 3 sqrt(d), else the nearest compression cluster within it, else it is retained. At the end
-    retained points are clustered, and compression clusters merge into discard clusters in reach.
-    Statistics: (round, discard clusters, discard points, compression clusters, compression points).
+    within 3 sqrt(d), else the nearest compression cluster within it, else it is retained. In the end the
+    retained points are clustered (3 k), these clusters merge into compression clusters in reach, and
+    compression clusters into discard clusters in reach; all points of other clusters get -1.
+
+    The points are written once, by chunk, and each chunk is read alone. The driver holds summaries only.
     """
-    chunks = [r["chunk"] for r in points.select("chunk").distinct().orderBy("chunk").collect()]
-    parts, rounds, discard, compressed = [], [], {}, {}
-    retained = None
+    spark = points.sparkSession
+    path = fresh_path(spark, "chunks")
+    points.select("id", "vec", "chunk").write.partitionBy("chunk").parquet(path)
+    kinds = dict(points.dtypes)
+    table = spark.read.schema(f"id {kinds['id']}, vec {kinds['vec']}, chunk {kinds['chunk']}").parquet(path)
+    chunks = [r["chunk"] for r in table.select("chunk").distinct().orderBy("chunk").collect()]
+    parts, rounds, discard, compressed, retained, reach = [], [], {}, {}, [], 0.0
     for number, chunk in enumerate(chunks):
-        here = materialize(points.where(F.col("chunk") == chunk).select("id", "vec"), "chunk")
-        limit = 3 * float(np.sqrt(len(here.first()["vec"])))
+        here = table.where(F.col("chunk").eqNullSafe(F.lit(chunk))).select("id", "vec")
+        reach = 3 * float(np.sqrt(len(here.first()["vec"])))
         if number == 0:
             first = materialize(sample(here, share), "sample")
             labelled, discard = k_means(first, k)
             parts.append(labelled.select("id", F.lit("d").alias("set"), "cluster"))
-            rest = here.join(first.select("id"), "id", "left_anti")
-            labelled, found = k_means(rest, 3 * k, 25)
-            single = [c for c, s in found.items() if s.n == 1]
+            labelled, found = k_means(materialize(here.join(first.select("id"), "id", "left_anti"), "rest"), 3 * k, 25)
+            alone = F.col("cluster").isin([c for c, s in found.items() if s.n == 1] or [-1])
             compressed = {c: s for c, s in found.items() if s.n > 1}
-            alone = F.col("cluster").isin(single) if single else F.lit(False)
             parts.append(labelled.where(~alone).select("id", F.lit("c").alias("set"), "cluster"))
-            retained = labelled.where(alone).select("id", "vec")
+            left = labelled.where(alone).select("id", "vec")
         else:
             left = here
             for name, sets in (("d", discard), ("c", compressed)):
                 if sets:
                     near = materialize(assign(left, {c: s.centre for c, s in sets.items()}, {c: s.sd for c, s in sets.items()}), "near")
-                    taken = near.where(F.col("dist") < limit)
+                    taken = near.where(F.col("dist") < reach)
                     for c, s in summaries(taken).items():
                         sets[c] = sets[c].plus(s)
                     parts.append(taken.select("id", F.lit(name).alias("set"), "cluster"))
-                    left = near.where(F.col("dist") >= limit).select("id", "vec")
-            retained = left if retained is None else retained.unionByName(left)
-        retained = materialize(retained, "retained")
-        rounds.append((number + 1, len(discard), sum(s.n for s in discard.values()), len(compressed), sum(s.n for s in compressed.values())))
-    if retained is not None and not retained.isEmpty():
-        labelled, found = k_means(retained, 3 * k, 25)
-        start = max(compressed, default=-1) + 1
-        compressed |= {c + start: s for c, s in found.items() if s.n > 1}
-        alone = F.col("cluster").isin([c for c, s in found.items() if s.n == 1] or [-1])
-        parts.append(labelled.select("id", F.when(alone, "r").otherwise("c").alias("set"), (F.col("cluster") + start).alias("cluster")))
-    if not parts:
-        return points.select("id", F.lit(-1).alias("cluster")), rounds
-    reach = merge_clusters(compressed, discard, 3 * float(np.sqrt(len(next(iter(discard.values())).total)))) if discard else {}
-    joined = F.create_map(*[F.lit(x) for pair in reach.items() for x in pair]) if reach else F.create_map().cast("map<int,int>")
-    labels = parts[0]
-    for p in parts[1:]:
-        labels = labels.unionByName(p)
-    cluster = F.when(F.col("set") == "d", F.col("cluster")).when(F.col("set") == "c", F.try_element_at(joined, F.col("cluster")))
-    return labels.select("id", F.coalesce(cluster, F.lit(-1)).alias("cluster")), rounds
+                    left = near.where(F.col("dist") >= reach).select("id", "vec")
+        retained.append(materialize(left, "retained"))
+        kept = sum(r[-1] for r in rounds[-1:]) + retained[-1].count()
+        rounds.append((number + 1, len(discard), sum(s.n for s in discard.values()), len(compressed), sum(s.n for s in compressed.values()), kept))
+    stats = spark.createDataFrame(rounds, ROUND)
+    if not rounds:
+        return points.select("id", F.lit(-1).alias("cluster")), stats
+    into: dict[int, int] = {}
+    if rounds[-1][-1]:
+        labelled, found = k_means(reduce(DataFrame.unionByName, retained), 3 * k)
+        into = merge_clusters(found, compressed, reach)
+        parts.append(labelled.select("id", F.lit("r").alias("set"), "cluster"))
+        for c, target in into.items():
+            compressed[target] = compressed[target].plus(found[c])
+    up = merge_clusters(compressed, discard, reach)
+    ends = [(s, int(c), int(x)) for s, pairs in (("c", up), ("r", {c: up[t] for c, t in into.items() if t in up})) for c, x in pairs.items()]
+    ends = spark.createDataFrame(ends, "set string, cluster int, label int")
+    labels = reduce(DataFrame.unionByName, parts).join(F.broadcast(ends), ["set", "cluster"], "left")
+    return labels.select("id", F.when(F.col("set") == "d", F.col("cluster")).otherwise(F.coalesce("label", F.lit(-1))).alias("cluster")), stats
