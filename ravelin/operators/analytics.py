@@ -48,9 +48,14 @@ def word_counts(df: DataFrame, column: str, stopwords=tx.STOPWORDS, keep_empty:
     return df.select(F.explode(words).alias("word"))
 
 
-def partition_sizes(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Rows of each of n partitions after dealing by keys; empty partitions count 0."""
-    sizes = df.repartition(n, *keys).groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+def dealt(df: DataFrame, n: int, by: Column) -> DataFrame:
+    """``df`` in n partitions, each row where the integer ``by`` modulo n says."""
+    return df.repartitionById(n, F.coalesce(F.pmod(by, F.lit(n)), F.lit(0)).cast("int"))
+
+
+def partition_sizes(df: DataFrame, n: int, by: Column) -> DataFrame:
+    """Rows of each of n partitions that a partitioner of the caller's deals to; empty partitions count 0."""
+    sizes = dealt(df, n, by).groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("part"))
     return every.join(sizes, "part", "left").select("part", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -246,3 +246,14 @@ ORACLES["itemset_report_all"] = f"""{_ALL_SETS}, lines AS (
   UNION ALL SELECT len(items), string_agg('(''' || array_to_string(items, ''', ''') || ''')', ',' ORDER BY list_transform(items, lambda x: CAST(x AS VARCHAR)))
   FROM found GROUP BY len(items))
 SELECT value FROM lines"""
+
+ORACLES["partition_sizes"] = """SELECT CAST(range AS INTEGER) AS part, (SELECT count(*) FROM lineitem WHERE (l_suppkey * 7 + 3) % 20 = range) AS n FROM range(20)"""
+ORACLES["reservoir"] = "SELECT event_id, event_type FROM events ORDER BY md5('3:' || event_id), event_id LIMIT 100"
+#: What a slot holds after event n is the tag of the last event that wrote it.
+ORACLES["stream_report"] = """WITH e AS (SELECT row_number() OVER (ORDER BY event_id, event_type) AS n, event_type AS tag FROM events WHERE event_type <> ''),
+h AS (SELECT n, tag, md5('5:' || n) AS d FROM e), v AS (SELECT n, tag, CAST('0x' || substr(d, 1, 8) AS BIGINT) AS u, CAST('0x' || substr(d, 9, 8) AS BIGINT) AS w FROM h),
+writes AS (SELECT n, tag, CASE WHEN n <= 100 THEN n - 1 ELSE w % 100 END AS slot FROM v WHERE n <= 100 OR u * n < 100 * 4294967296),
+places AS (SELECT n, s.range AS slot FROM e, range(100) s),
+held AS (SELECT p.n, w.tag FROM places p ASOF JOIN writes w ON p.slot = w.slot AND p.n >= w.n),
+counts AS (SELECT n, tag, count(*) AS c FROM held GROUP BY ALL), ranked AS (SELECT *, dense_rank() OVER (PARTITION BY n ORDER BY c DESC) AS r FROM counts)
+SELECT n AS number, string_agg(tag || ' : ' || c, '; ' ORDER BY c DESC, tag) AS report FROM ranked WHERE r <= 3 GROUP BY n"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors
 from ..operators import analytics, clustering, graph, itemsets, recommend, similarity, sketches
-from ..sources.readers import table
+from ..sources.readers import spread, table
 from ..sources.storage import materialize
 from ..streaming import streams
 
@@ -25,6 +25,10 @@ def _sets(spark: SparkSession, sf_dir: str, item: str, member: str, source: str)
     return _reviews(spark, sf_dir, source).select(F.col(item).alias("item"), F.col(member).alias("member")).distinct()
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def top_brands(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rated = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -49,7 +53,7 @@ def top_users(spark, sf_dir):
 
 
 def top_words(spark, sf_dir):
-    return analytics.top_counts(analytics.word_counts(table(spark, sf_dir, "documents"), "text"), "word", 10)
+    return analytics.top_counts(analytics.word_counts(_texts(spark, sf_dir), "text"), "word", 10)
 
 
 def category_avg(spark, sf_dir):
@@ -63,7 +67,7 @@ def heavy_items(spark, sf_dir):
 
 
 def partition_sizes(spark, sf_dir):
-    return analytics.partition_sizes(table(spark, sf_dir, "lineitem").select("l_suppkey"), 20, "l_suppkey")
+    return analytics.partition_sizes(table(spark, sf_dir, "lineitem").select("l_suppkey"), 20, F.col("l_suppkey") * 7 + 3)
 
 
 def item_index(spark, sf_dir):
@@ -153,7 +157,7 @@ def lsh_banded(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    return materialize(recommend.term_scores(table(spark, sf_dir, "documents"), "doc_id", "text"), "profiles")
+    return materialize(recommend.term_scores(_texts(spark, sf_dir), "doc_id", "text"), "profiles")
 
 
 def _owners(spark, sf_dir):
@@ -161,7 +165,7 @@ def _owners(spark, sf_dir):
 
 
 def tfidf_profile(spark, sf_dir):
-    return recommend.term_scores(table(spark, sf_dir, "documents"), "doc_id", "text").select(
+    return recommend.term_scores(_texts(spark, sf_dir), "doc_id", "text").select(
         F.col("key").alias("doc_id"), "term", "score", F.col("rank").cast("long").alias("rank")
     )
 
@@ -191,6 +195,11 @@ def _events_ratings(spark, sf_dir):
     return recommend.latest_ratings(rows.where("item IS NOT NULL"), "event_id")
 
 
+def _event_ratings_sets(spark, sf_dir):
+    """Distinct (item, member) of event users and the tags they rated."""
+    return _events_ratings(spark, sf_dir).select(F.col("user").alias("item"), F.col("item").alias("member")).distinct()
+
+
 def cf_item_model(spark, sf_dir):
     return _similar(recommend.pearson_model(materialize(_ratings(spark, sf_dir), "ratings")))
 
@@ -318,6 +327,12 @@ def bfr(spark, sf_dir):
     return clustering.out_of_core(points.select("id", "vec", "chunk"), 10)[0]
 
 
+def bfr_rounds(spark, sf_dir):
+    """Statistics after each round of the same pass."""
+    points = _points(spark, sf_dir).withColumn("chunk", F.ntile(3).over(_by_id()))
+    return clustering.out_of_core(points.select("id", "vec", "chunk"), 10)[1]
+
+
 def _by_id():
     from pyspark.sql import Window
 
@@ -378,7 +393,7 @@ def stream_report(spark, sf_dir):
 
 def clean_words(spark, sf_dir):
     words = tx.clean_words(F.coalesce("text", F.lit("")), keep_empty=False, strip=tx.delete_punctuation_digits)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_words"))
+    return _texts(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_words"))
 
 
 QUERIES = {
@@ -389,7 +404,7 @@ QUERIES = {
         fp_growth, fp_growth_all,
         jaccard_exact, jaccard_lsh, lsh_banded, tfidf_profile, user_profile, content_predict, cf_item_model, cf_user_model, cf_user_model_all, cf_user_model_lsh,
         cf_user_model_lsh_all, cf_item_predict, cf_user_predict, cf_user_predict_all, co_graph, graph_vertices, lpa_labels, communities, shortest_paths, betweenness, components, modularity,
-        gn_communities, cluster_statistics, kmeans_step, mahalanobis_assign, bfr, centre_distance, bloom_probe, fm_estimate, tag_top3, reservoir,
+        gn_communities, cluster_statistics, kmeans_step, mahalanobis_assign, bfr, bfr_rounds, centre_distance, bloom_probe, fm_estimate, tag_top3, reservoir,
         stream_windows, stream_distinct, stream_report, clean_words,
     )
 }

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def json_object(df: DataFrame, path: str) -> None:
-    """One row as a single JSON object."""
-    df.limit(1).select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One row as a single JSON object; a row ``value`` of :func:`answers` as it is."""
+    value = F.col("value") if df.columns == ["value"] else F.to_json(F.struct(*df.columns)).alias("value")
+    df.limit(1).select(value).coalesce(1).write.mode("overwrite").text(path)
 
 
 def ranked_object(df: DataFrame, order: list[Column], key: str = "result") -> DataFrame:
@@ -22,6 +23,28 @@ def ranked_object(df: DataFrame, order: list[Column], key: str = "result") -> Da
     return lines.select(F.concat(F.lit('{"' + key + '":['), joined, F.lit("]}")).alias("value"))
 
 
+def ranked_list(df: DataFrame, order: list[Column], name: str, only: str | None = None) -> DataFrame:
+    """Small ranked rows as one row: column ``name``, a JSON list of [col, ...], or of column ``only``, in the given order."""
+    body = F.to_json(F.array(F.col(only))) if only else F.concat(F.lit("["), F.concat_ws(",", *[F.regexp_replace(F.to_json(F.array(F.col(c))), r"^\[|\]$", "") for c in df.columns]), F.lit("]"))
+    body = F.regexp_replace(body, r"^\[|\]$", "") if only else body
+    lines = df.select(F.row_number().over(_window(order)).alias("_r"), body.alias("_b")).agg(F.sort_array(F.collect_list(F.struct("_r", "_b"))).alias("_l"))
+    return lines.select(F.concat(F.lit("["), F.array_join(F.transform("_l", lambda x: x["_b"]), ","), F.lit("]")).alias(name))
+
+
+def answers(parts: list[DataFrame]) -> DataFrame:
+    """One row ``value``: a JSON object of one-row results (number or :func:`ranked_list`), one key a column."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.join(part, F.lit(True))  # one row each
+    pairs = [F.concat(F.lit(f'"{c}":'), F.col(c).cast("string")) for c in whole.columns]
+    return whole.select(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("value"))
+
+
+def numbered(lines: DataFrame, part: int) -> DataFrame:
+    """Report lines with their place: 1000 * part + line."""
+    return lines.withColumn("place", F.lit(1000 * part).cast("long") + F.monotonically_increasing_id())
+
+
 def _window(order: list[Column]):
     from pyspark.sql import Window
 
@@ -47,7 +70,7 @@ def itemset_lines(itemsets: DataFrame, title: str) -> DataFrame:
     lines = itemsets.select("size", F.col("items"), quoted.alias("q")).groupBy("size").agg(F.sort_array(F.collect_list(F.struct("items", "q"))).alias("l"))
     body = lines.select(F.col("size").alias("n"), F.array_join(F.transform("l", lambda x: x["q"]), ",").alias("value"))
     head = itemsets.sparkSession.createDataFrame([(0, f"{title}:")], "n int, value string")
-    return head.unionByName(body.withColumn("n", F.col("n").cast("int"))).orderBy("n").select("value")
+    return head.unionByName(body.withColumn("n", F.col("n").cast("int"))).orderBy("n").coalesce(1).select("value")
 
 
 def community_lines(communities: DataFrame) -> DataFrame:
@@ -79,6 +102,10 @@ def append_each_batch(path: str, form: str = "csv") -> Callable[[DataFrame, int]
     """For foreachBatch: append the rows of every micro-batch, each batch once (its id is in the folder's name)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").option("header", True).format(form).save(f"{path}/batch={number}")
+        where = f"{path}/batch={number}"
+        if form == "text":
+            batch.write.mode("overwrite").text(where)
+        else:
+            batch.write.mode("overwrite").option("header", True).format(form).save(where)
 
     return write

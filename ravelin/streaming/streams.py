@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,19 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], every: str
     return stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", where).trigger(processingTime=every).start()
 
 
+def stop_after(query: StreamingQuery, seconds: float, idle: bool = False) -> None:
+    """Stop a started query after a time, with ``idle`` as soon as it has taken all that is there; its error is raised."""
+    ends = time.monotonic() + seconds
+    while query.isActive and time.monotonic() < ends:
+        if idle and query.lastProgress is not None:
+            query.processAllAvailable()
+            break
+        query.awaitTermination(0.2)
+    query.stop()
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def last_result(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a finite stream as a table: in complete mode the last batch holds all of it."""
     path = fresh_path(stream.sparkSession, "stream-result")
@@ -77,7 +91,8 @@ def reservoir_reports(stream: DataFrame, size: int = 100, top: int = 3, eligible
 
     stream: order, tag. One state holds the reservoir (``size`` tags) and the number of events. All are
     admitted up to ``size``, then each with probability size / n in a random slot. ``eligible_only_alpha``
-    admits only alphabetic tags after that. The randomness is seeded by the event's number.
+    admits only alphabetic tags after that. The randomness is the digest of seed and the event's number. The
+    exact report is one sequence by definition, so a micro-batch goes through one task: cap it at the source.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -85,11 +100,11 @@ def reservoir_reports(stream: DataFrame, size: int = 100, top: int = 3, eligible
         out, rows = [], pd.concat(list(batches)).sort_values(["order", "tag"])
         for tag in rows["tag"]:
             n += 1
-            rng = random.Random(seed * 1_000_003 + n)
+            digest = hashlib.md5(f"{seed}:{n}".encode()).hexdigest()
             if len(kept) < size:
                 kept.append(tag)
-            elif (tag.isalpha() or not eligible_only_alpha) and rng.random() < size / n:
-                kept[rng.randrange(size)] = tag
+            elif (tag.isalpha() or not eligible_only_alpha) and int(digest[:8], 16) * n < size << 32:
+                kept[int(digest[8:16], 16) % size] = tag
             counts = Counter(kept)
             levels = sorted(set(counts.values()), reverse=True)[:top]
             lines = sorted(((-c, t) for t, c in counts.items() if c in levels))

@@ -1,15 +1,22 @@
 """Hand-made inputs: quirks, ties, nulls, empty tables, and properties against brute force."""
 
+import hashlib
 import itertools
 import math
 import random
+import socket
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from ravelin import metrics
 from ravelin.functions import hashing, text, vectors
 from ravelin.operators import analytics, clustering, graph, itemsets, recommend, similarity, sketches
+from ravelin.plans import queries
 from ravelin.sources import readers, sinks
+from ravelin.sources.push import Feed
 from ravelin.streaming import streams
 
 
@@ -50,7 +57,9 @@ def test_categories_and_partitions(spark):
     ratings = spark.createDataFrame([("b", 1.0), ("b", 3.0), ("c", 5.0)], "k string, v double")
     cats = spark.createDataFrame([("b", "A, A"), ("c", None), ("d", "")], "k string, t string")
     assert [tuple(r) for r in analytics.category_averages(ratings, cats, "k", "t", "v").collect()] == [("A", 2.0, 4)]
-    assert [r["n"] for r in analytics.partition_sizes(spark.range(1), 3, "id").orderBy("n").collect()] == [0, 0, 1]
+    assert [tuple(r) for r in analytics.partition_sizes(spark.range(8), 3, F.col("id") + 1).orderBy("part").collect()] == [(0, 2), (1, 3), (2, 3)]
+    nulls = spark.createDataFrame([(None,), (1,)], "k long")
+    assert [tuple(r) for r in analytics.partition_sizes(nulls, 2, F.col("k")).orderBy("part").collect()] == [(0, 1), (1, 1)]
     index = analytics.dense_index(spark.createDataFrame([("b",), ("a",), ("b",)], "k string"), "k")
     assert sorted(map(tuple, index.collect())) == [("a", 0), ("b", 1)]
 
@@ -140,7 +149,12 @@ def test_graph(spark):
     labels = dict(graph.label_propagation(df).collect())
     assert labels.keys() == {1, 2, 3, 4, 5, 6, 8, 9}
     lines = [r["value"] for r in sinks.community_lines(graph.communities(graph.label_propagation(df))).collect()]
-    assert lines[0] == "'8', '9'" or "'8'" in "".join(lines)
+    groups = {}
+    for i, label in labels.items():
+        groups.setdefault(label, []).append(i)
+    assert lines == [", ".join(f"'{i}'" for i in sorted(g)) for g in sorted(groups.values(), key=lambda g: (len(g), min(g)))]
+    edge_lines = [r["value"] for r in sinks.betweenness_lines(graph.betweenness(df)).collect()]
+    assert edge_lines == [f"('{u}', '{v}'), {b}" for (u, v), b in sorted(want.items(), key=lambda x: (-x[1], x[0]))]
     with pytest.raises(ValueError):
         graph.split_communities(df, degree_source="x")
 
@@ -166,8 +180,6 @@ def brute_split(edges):
 
 
 def test_communities_are_split_until_modularity_stops_rising(spark, sf_dir):
-    from ravelin.plans import queries
-
     sets = queries._events_ratings(spark, sf_dir + "/../sf0.01").select(F.col("user").alias("item"), F.col("item").alias("member"))
     edges = sorted((r["u"], r["v"]) for r in graph.co_graph(sets, 36).collect())
     want, rounds = brute_split(edges)
@@ -183,8 +195,118 @@ def test_clustering(spark):
     _, found = clustering.k_means(points, 3, 0)
     assert sum(s.n for s in found.values()) == 120 and all(s.sd[1] == 0 for s in found.values())
     labels, rounds = clustering.out_of_core(points, 3)
-    assert labels.count() == 120 and labels.select("id").distinct().count() == 120 and len(rounds) == 2
+    assert labels.count() == 120 and labels.select("id").distinct().count() == 120 and rounds.count() == 2
     assert clustering.sample(points, 0.2).count() == 24
+    empty, none = clustering.out_of_core(points.limit(0), 3)
+    assert empty.count() == none.count() == 0
+
+
+def digest(seed, key):
+    return hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
+
+
+def plain_k_means(points, k, tolerance):
+    """id -> cluster, cluster -> ids; points: id -> vector."""
+    first = {}
+    for i, v in points.items():
+        first[v] = min(first.get(v, ("g", 0)), (digest(11, i), i))
+    centres = {c: v for c, (v, _) in enumerate(sorted(first.items(), key=lambda x: x[1])[:k])}
+    sizes = dict.fromkeys(centres, 0)
+    while centres:
+        groups = {}
+        for i, v in points.items():
+            groups.setdefault(min((round(math.dist(v, c), 9), n) for n, c in centres.items())[1], []).append(i)
+        if all(abs(len(g) - sizes.get(n, 0)) <= tolerance for n, g in groups.items()):
+            return groups
+        sizes, centres = {n: len(g) for n, g in groups.items()}, {n: tuple(sum(x) / len(g) for x in zip(*(points[i] for i in g))) for n, g in groups.items()}
+    return {}
+
+
+def plain_out_of_core(chunks, k):
+    """Labels and round statistics by sets of points instead of summaries."""
+    every = {i: v for c in chunks for i, v in c.items()}
+
+    def away(v, group):
+        rows = [every[i] for i in group]
+        centre = [sum(x) / len(rows) for x in zip(*rows)]
+        sd = [math.sqrt(max(sum(a * a for a in x) / len(rows) - (sum(x) / len(rows)) ** 2, 0)) for x in zip(*rows)]
+        return round(math.sqrt(sum(((a - c) / (s or 1)) ** 2 for a, c, s in zip(v, centre, sd))), 9)
+
+    def middle(group):
+        return [sum(x) / len(group) for x in zip(*(every[i] for i in group))]
+
+    reach, stats = 3 * math.sqrt(len(next(iter(every.values())))), []
+    for number, chunk in enumerate(chunks, 1):
+        if number == 1:
+            chosen = sorted(chunk, key=lambda i: (digest(7, i), i))[: int(len(chunk) * 0.2)]
+            discard = plain_k_means({i: chunk[i] for i in chosen}, k, 10)
+            found = plain_k_means({i: v for i, v in chunk.items() if i not in chosen}, 3 * k, 25)
+            compressed = {c: g for c, g in found.items() if len(g) > 1}
+            retained = [g[0] for g in found.values() if len(g) == 1]
+        else:
+            left = list(chunk)
+            for sets in (discard, compressed):
+                taken = {}
+                for i in left:
+                    d, c = min(((away(chunk[i], g), c) for c, g in sets.items()), default=(math.inf, None))
+                    if d < reach:
+                        taken[i] = c
+                left = [i for i in left if i not in taken]
+                for i, c in taken.items():
+                    sets[c] = [*sets[c], i]
+            retained += left
+        stats.append((number, len(discard), sum(map(len, discard.values())), len(compressed), sum(map(len, compressed.values())), len(retained)))
+    last = plain_k_means({i: every[i] for i in retained}, 3 * k, 10)
+    for source, target in ((last, compressed), (compressed, discard)):
+        met = {c: min(((away(middle(g), t), n) for n, t in target.items()), default=(math.inf, None)) for c, g in sorted(source.items())}
+        for c, (d, n) in met.items():
+            if d < reach:
+                target[n] = target[n] + source.pop(c)
+    labels = dict.fromkeys(every, -1)
+    labels.update({i: c for c, g in discard.items() for i in g})
+    return labels, stats
+
+
+def test_out_of_core_against_plain_python(spark):
+    """Labels and all six columns of the round statistics; outliers are retained and merge in the last round."""
+    retained, dropped = [], []
+    for seed in range(3):
+        r = random.Random(seed)
+        rows = []
+        for i in range(300):
+            place = r.choice([(0, 0, 0), (30, 0, 10), (0, 40, -20)])
+            width = 1 if r.random() < 0.9 else 60
+            rows.append((i, [round(r.gauss(c, width), 6) for c in place], f"chunk{i // 100}"))
+        points = spark.createDataFrame(rows, "id long, vec array<double>, chunk string")
+        labels, stats = clustering.out_of_core(points, 3)
+        chunks = [{i: tuple(v) for i, v, c in rows if c == f"chunk{k}"} for k in range(3)]
+        want, rounds = plain_out_of_core(chunks, 3)
+        assert [tuple(x) for x in stats.orderBy("round_id").collect()] == rounds
+        assert dict(labels.collect()) == want
+        retained.append(rounds[-1][-1])
+        dropped.append(list(want.values()).count(-1))
+    assert any(retained) and any(dropped)
+
+
+def test_confirmed_pairs_of_wide_items(spark, monkeypatch):
+    """An item with more members than one array holds is compared part by part."""
+    r = random.Random(6)
+    data = {(a, m) for a in range(12) for m in r.sample(range(400), 300 if a < 3 else 20)}
+    sets = spark.createDataFrame(sorted(data), "item long, member long")
+    members = {a: {m for b, m in data if a == b} for a in range(12)}
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    want = {(a, b, len(members[a] & members[b])) for a, b in pairs if members[a] & members[b]}
+    for wide in (4096, 16):
+        monkeypatch.setattr(similarity, "WIDE", wide)
+        got = similarity.confirmed(spark.createDataFrame(pairs, "a long, b long"), sets)
+        assert {tuple(x) for x in got.select("a", "b", "common").collect()} == want
+
+
+def test_signatures_of_many_hashes(spark):
+    sets = spark.createDataFrame([(a, m) for a in range(5) for m in range(a, 40, a + 1)], "item long, member long")
+    got = {x["item"]: x["h"] for x in similarity.signatures(sets, 250, 40, prime=False).collect()}
+    for a, h in got.items():
+        assert h == [min((x * m + y) % 40 for m in range(a, 40, a + 1)) for _, x, y, _ in hashing.family(250)]
 
 
 def test_sketches(spark):
@@ -217,6 +339,73 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.assignment_object(labels).first()["value"] == '{"1":-1,"2":3}'
 
 
+def test_timing_and_progress(spark, sf_dir, caplog):
+    seconds = {}
+    with caplog.at_level("INFO", logger="ravelin"):
+        with pytest.raises(KeyError), metrics.timed("work", seconds):
+            raise KeyError
+        with metrics.timed("work", seconds):
+            pass
+        listener = metrics.Progress()
+        spark.streams.addListener(listener)
+        streams.run_to_end(queries._event_stream(spark, sf_dir), lambda b, n: b.count())
+        for _ in range(100):
+            if "1000 rows" in caplog.text:
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(listener)
+    assert seconds["work"] >= 0 and caplog.text.count("work: ") == 2 and "1000 rows" in caplog.text
+
+
+def test_modes(spark):
+    ratings = spark.createDataFrame([(u, f"i{k}", float(u * k % 5)) for u in range(6) for k in range(6)], "user long, item string, stars double")
+    wanted = spark.createDataFrame([(1, "i2")], "user long, item string")
+    for mode in ("item_based", "user_based"):
+        assert recommend.predict(mode, ratings.where("NOT (user = 1 AND item = 'i2')"), wanted).count() <= 1
+    with pytest.raises(ValueError, match="mode must be"):
+        recommend.predict("other", ratings, wanted)
+
+
+def test_socket_stream(spark):
+    """Lines of a socket become rows; the query ends by its timeout."""
+    server = socket.create_server(("localhost", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"one\ntwo\n")
+        time.sleep(8)
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    got = []
+    query = streams.start(readers.socket_lines(spark, port=server.getsockname()[1]), lambda b, n: got.extend(r["value"] for r in b.collect()), "1 second")
+    for _ in range(70):
+        if len(got) == 2:
+            break
+        time.sleep(0.1)
+    streams.stop_after(query, 0.1)
+    assert got == ["one", "two"] and not query.isActive
+    server.close()
+
+
+def test_feed(spark, tmp_path):
+    feed = Feed(str(tmp_path / "feed"), 3)
+    for k in range(7):
+        feed.push(f"m{k}\nx")
+    assert sorted(p.name for p in (tmp_path / "feed").glob("*.txt")) == ["000000000000.txt", "000000000001.txt"]
+    feed.close()
+    got = []
+    streams.run_to_end(feed.stream(spark), lambda b, n: got.append([r["value"] for r in b.collect()]))
+    assert got == [["m0 x", "m1 x", "m2 x"], ["m3 x", "m4 x", "m5 x"], ["m6 x"]]
+
+
+def test_spread(spark):
+    one = spark.range(10).coalesce(1)
+    assert readers.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10, 1, 64)
+    assert readers.spread(many) is many
+
+
 def test_streams(spark, sf_dir, tmp_path):
     from ravelin.plans.queries import _event_stream
 
