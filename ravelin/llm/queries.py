@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.readers import spread, table
 from . import chat, decontam, exact_dedup, ngram_join, packing, quality, secrets, token_count, toxicity, warc
-from .common import table
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.decide(table(spark, sf_dir, "documents"))
+    return exact_dedup.decide(texts(spark, sf_dir))
 
 
 def _tokenizer(name: str) -> str:
@@ -20,7 +24,7 @@ def _tokenizer(name: str) -> str:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,15 +40,15 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(texts(spark, sf_dir))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(texts(spark, sf_dir))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,19 +56,19 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+    return secrets.report(secrets.scan(texts(spark, sf_dir)))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return token_count.count_tokens(texts(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_toxicity, op3_chat_format, op4_best_fit_packing, op5_ngram_jaccard,
     op6_decontamination, op7_warc_revisits, op8_secret_scan, op9_token_counts, op10_quality,
 )}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op3_chat_format": chat.ORACLE_SQL, "op5_ngram_jaccard": ngram_join.ORACLE_SQL, "op7_warc_revisits": warc.ORACLE_SQL}
