@@ -35,8 +35,8 @@ from .common import lean, materialize, text_of, trim
 CAPACITY, BLOCK = 2048, 4096
 #: Islands a block, most epochs, generations an epoch, packings an island, elites that move.
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 6, 100, 8, 2
-#: Bins and loose pieces that one exchange looks at.
-TRIED = 40
+#: Bins and loose pieces that one exchange looks at; generations without a saved bin that end an epoch.
+TRIED, PATIENCE = 40, 25
 #: Bins filled less than this meet again across blocks.
 WELL_FILLED = 0.97
 #: Chunks that a worker remembers with their ids; the memory is emptied when it is full.
@@ -278,9 +278,12 @@ def evolve(lengths: np.ndarray, start: list[np.ndarray], seed: int) -> list[np.n
     while len(group) < POPULATION:
         p = first_packing(lengths, rng.uniform(0.85, 1.0, len(lengths)))
         group.append((fitness(lengths, p), p))
+    group.sort(key=lambda x: x[0], reverse=True)
+    best, since = group[0][0][0], 0
     for _ in range(GENERATIONS):
-        group.sort(key=lambda x: x[0], reverse=True)
-        if -group[0][0][0] <= bound:
+        since = 0 if group[0][0][0] > best else since + 1
+        best = group[0][0][0]
+        if -best <= bound or since > PATIENCE:
             break
         i, j = sorted(rng.choice(len(group), 2, replace=False))
         for child in (crossover(lengths, group[i][1], group[j][1], rng), mutate(lengths, group[rng.choice(3)][1], rng)):
