@@ -19,7 +19,7 @@ HUB, HUBS = 128, 100_000
 
 def co_graph(sets: DataFrame, least: int) -> DataFrame:
     """u, v, common: items of (item, member) with at least ``least`` common members."""
-    return similarity.common_members(sets, least).select(F.col("a").alias("u"), F.col("b").alias("v"), "common")
+    return similarity.common_members(materialize(sets, "sets"), least).select(F.col("a").alias("u"), F.col("b").alias("v"), "common")
 
 
 def vertices(edges: DataFrame) -> DataFrame:

@@ -57,8 +57,7 @@ def pearson_model(ratings: DataFrame, pairs: DataFrame | None = None, least: int
     """
     mean = ratings.groupBy("item").agg(F.avg("stars").alias("mean"))
     off = ratings.join(mean, "item").select("user", "item", (F.col("stars") - F.col("mean")).alias("off"))
-    left, right = off.select("user", F.col("item").alias("a"), F.col("off").alias("x")), off.select("user", F.col("item").alias("b"), F.col("off").alias("y"))
-    met = left.join(right, "user").where("a < b")
+    met = similarity.paired(off, "user", carry=("off",), counted=ratings).withColumnsRenamed({"a_off": "x", "b_off": "y"})
     if pairs is not None:
         met = met.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
     sums = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("x * y")).alias("xy"), F.sum(F.expr("x * x")).alias("xx"), F.sum(F.expr("y * y")).alias("yy"))

@@ -302,6 +302,18 @@ def test_confirmed_pairs_of_wide_items(spark, monkeypatch):
         assert {tuple(x) for x in got.select("a", "b", "common").collect()} == want
 
 
+def test_pairs_of_heavy_keys_are_cut_into_blocks(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(k, i, float(i)) for k in range(6) for i in r.sample(range(60), 50 if k < 2 else 3)] + [(None, 1, 0.0), (None, 2, 0.0)]
+    df = spark.createDataFrame(rows, "k long, item long, v double")
+    want = sorted((i, j, x, y) for k, i, x in rows for m, j, y in rows if k == m and k is not None and i < j)
+    for block, most in ((4096, 10), (8, 10), (8, 0)):
+        monkeypatch.setattr(similarity, "BLOCK", block)
+        monkeypatch.setattr(similarity, "MAX_HEAVY", most)
+        got = similarity.paired(df, "k", carry=("v",)).select("a", "b", "a_v", "b_v").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_signatures_of_many_hashes(spark):
     sets = spark.createDataFrame([(a, m) for a in range(5) for m in range(a, 40, a + 1)], "item long, member long")
     got = {x["item"]: x["h"] for x in similarity.signatures(sets, 250, 40, prime=False).collect()}
