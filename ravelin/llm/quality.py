@@ -9,7 +9,8 @@ The statistics are computed over whole texts of all rows; only the fit is on a s
 SAMPLE labelled rows (the smallest hashes of their ids, the same at every run).
 
 Defined cases: a null text is empty and scored from its statistics; repeated ids are scored each; of
-contradicting labels the larger counts; without labels of both classes the score is the share of
+contradicting labels the larger counts, and of rows that repeat an id the fit takes the one with the largest
+statistics; without labels of both classes the score is the share of
 label 1 (0.5 without any label); an empty table gives an empty result; other columns are not read.
 """
 
@@ -154,7 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Column:
     names = list(statistics(F.lit("")))
     chosen = sample_labels(labels, "quality", ~held_out("doc_id", 4, 2), rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-    table = measured(joined, "doc_id", "_label").toPandas().sort_values(["doc_id", "_label"])
+    # one row an id, so the fit's rows are bounded by ``rows`` whatever repeats
+    stats = [F.col(f"s_{n}") for n in names]
+    once = measured(joined, "doc_id", "_label").groupBy("doc_id", "_label").agg(F.max(F.struct(*stats)).alias("s")).select("doc_id", "_label", "s.*")
+    table = once.toPandas().sort_values("doc_id")
     x = table[[f"s_{n}" for n in names]].to_numpy(float)
     return compile_rules(names, *fit(x, table["_label"].to_numpy(float)))
 
