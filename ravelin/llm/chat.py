@@ -21,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CONTROL = r"(\\*</?turn>)"
-ESCAPED = r"\\(\\*</?turn>)"
+# A run of backslashes is tried from its beginning only and never given back, so long runs cost their length.
+CONTROL = r"(?<!\\)(\\*+</?turn>)"
+ESCAPED = r"(?<!\\)\\(\\*+</?turn>)"
 MARK = r"(?<!\\)<turn>"
 OPEN, CLOSE = "<turn>", "\n</turn>\n"
 
