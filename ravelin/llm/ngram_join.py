@@ -33,6 +33,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,6 +55,7 @@ PREFIX = 255
 U = np.uint64
 #: Bytes hashed at once; documents whose signatures are grouped at once.
 SLICE, GROUP = 500_000, 1500
+BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -80,7 +82,24 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of lower-cased UTF-8 bytes; words end at bytes 9 to 13 and 32."""
+    """Start and hash of every word of lower-cased UTF-8 bytes; words end at bytes 9 to 13 and 32.
+
+    Longer data goes piece by piece, cut at white space: a word's hash is the same wherever it stands.
+    """
+    if len(data) > 2 * SLICE:
+        starts, hashes, low = [], [], 0
+        while low < len(data):
+            found = BREAK.search(data, low + SLICE)
+            high = found.end() if found else len(data)
+            start, words = _words_of(data[low:high])
+            starts.append(start + low)
+            hashes.append(words)
+            low = high
+        return np.concatenate(starts), np.concatenate(hashes)
+    return _words_of(data)
+
+
+def _words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     solid = ~((b == 32) | ((b >= 9) & (b <= 13)))
     edge = np.diff(np.r_[False, solid, False].astype(np.int8))

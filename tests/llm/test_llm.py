@@ -75,6 +75,17 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.expand(data.limit(0))).count() == 0
 
 
+def test_long_runs_of_backslashes(spark):
+    import time
+
+    texts = ["\\" * 200_000, "\\" * 100_001 + "<turn>", "a" + "\\" * 7 + "</turn>" + "\\" * 3 + "<turn>\\", "<turn></turn>\\<turn>"]
+    data = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    began = time.time()
+    got = chat.digest(chat.expand(data)).first()
+    assert time.time() - began < 20
+    assert got["loss_sha256"] == hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
@@ -137,6 +148,14 @@ def test_ngram_join_counts_a_repeated_row_once(spark):
     assert {x["doc_id"] for x in ngram_join.drop_near_copies(docs_of(spark, rows)).collect()} == {c for _, _, c in got}
 
 
+def test_words_of_long_texts_are_hashed_piece_by_piece():
+    r = random.Random(3)
+    for data in (b" ".join(b"w%d" % r.randrange(10**6) for _ in range(300_000)), b"x" * 2_000_000, b"y" * 1_200_000 + b" z " + b"q" * 900_000, b" " * 1_500_000):
+        start, words = ngram_join.word_hashes(data)
+        whole_start, whole = ngram_join._words_of(data)
+        assert (start == whole_start).all() and (words == whole).all()
+
+
 def test_sketches_never_overstate():
     r = np.random.default_rng(1)
     for _ in range(200):
