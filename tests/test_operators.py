@@ -435,3 +435,48 @@ def test_streams(spark, sf_dir, tmp_path):
     batches = []
     streams.run_to_end(events, lambda b, n: batches.append(b.count()))
     assert sum(batches) == 1000
+
+
+@pytest.mark.parametrize("form", ["sparse", "dense", "second", None])
+def test_pair_sums_in_every_form(spark, monkeypatch, form):
+    """Also with heavy keys and items, negative and large ids, and blocks of few items."""
+    r = random.Random(11)
+    items = [i * 3 - 20 if i % 5 else i + 2**33 for i in range(40)]
+    rows = [(k, i, r.random() - 0.4) for k in range(15) for i in r.sample(items, 36 if k < 2 else 9)]
+    df = spark.createDataFrame(rows + [(None, 1, 0.5), (None, 4, 0.5)], "k long, item long, v double")
+    held = {}
+    for k, i, v in rows:
+        held.setdefault(i, {})[k] = v
+    want = {}
+    for a, b in itertools.combinations(sorted(held), 2):
+        both = [(held[a][k], held[b][k]) for k in held[a].keys() & held[b].keys()]
+        if len(both) > 2:
+            want[a, b] = (len(both), sum(x * y for x, y in both), sum(x * x for x, _ in both), sum(y * y for _, y in both))
+    for block, hot, side, deep in ((4096, 8_000_000, 1024, 2048), (8, 40, 7, 4)):
+        for name, n in (("BLOCK", block), ("HOT", hot), ("SIDE", side), ("DEEP", deep), ("PAIRS", 50)):
+            monkeypatch.setattr(similarity, name, n)
+        assert {(x["a"], x["b"]): x["common"] for x in similarity.pair_sums(df, "k", least=3, form=form).collect()} == {p: w[0] for p, w in want.items()}
+        if form == "second":
+            continue
+        got = {(x["a"], x["b"]): (x["common"], x["xy"], x["xx"], x["yy"]) for x in similarity.pair_sums(df, "k", value="v", least=3, form=form).collect()}
+        assert got.keys() == {p for p, w in want.items() if w[1] > 0} and all(got[p] == pytest.approx(want[p]) for p in got)
+        bands = spark.createDataFrame([(i, [str(i % 3), str(i % 4)]) for i in items], "item long, bands array<string>")
+        got = {(x["a"], x["b"]): x["sim"] for x in similarity.pair_sums(df.where("k IS NOT NULL"), "k", least=3, threshold=0.3, bands=bands, form=form).collect()}
+        sims = {(a, b): w[0] / (len(held[a]) + len(held[b]) - w[0]) for (a, b), w in want.items() if a % 3 == b % 3 or a % 4 == b % 4}
+        assert got == {p: s for p, s in sims.items() if s >= 0.3}
+
+
+def test_pairs_are_summed_without_a_shuffle_of_pairs(spark):
+    rows = spark.createDataFrame([(k, i, 1.0) for k in range(5) for i in range(20)], "k long, item long, v double")
+    plan = similarity.pair_sums(rows, "k", value="v", form="sparse")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("posexplode(bs") > 0 and "Exchange" not in plan[: plan.index("posexplode(bs")]
+
+
+@pytest.mark.parametrize("form", ["members", "buckets"])
+def test_lsh_join_by_members_and_by_buckets(spark, form):
+    r = random.Random(3)
+    sets = spark.createDataFrame([(a, m) for a in range(30) for m in r.sample(range(20), 8)], "item long, member long")
+    got = {(x["a"], x["b"], x["common"]) for x in similarity.lsh_join(sets, 0.3, 6, 2, 50, form=form).collect()}
+    keys = {x["item"]: x["bands"] for x in similarity.lsh_bands(sets, 6, 2, 50).collect()}
+    exact = {(x["a"], x["b"], x["common"]) for x in similarity.jaccard_join(sets, 0.3).collect()}
+    assert got == {p for p in exact if any(x == y for x, y in zip(keys[p[0]], keys[p[1]], strict=True))} and got
