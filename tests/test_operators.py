@@ -480,3 +480,16 @@ def test_lsh_join_by_members_and_by_buckets(spark, form):
     keys = {x["item"]: x["bands"] for x in similarity.lsh_bands(sets, 6, 2, 50).collect()}
     exact = {(x["a"], x["b"], x["common"]) for x in similarity.jaccard_join(sets, 0.3).collect()}
     assert got == {p for p in exact if any(x == y for x, y in zip(keys[p[0]], keys[p[1]], strict=True))} and got
+
+
+@pytest.mark.parametrize("step", [1.0, 0.3])
+@pytest.mark.parametrize("form", ["sparse", "dense"])
+def test_pair_sums_around_means(spark, form, step):
+    r = random.Random(5)
+    rows = [(k, i, step * r.randint(1, 5)) for k in range(12) for i in r.sample(range(9), 5)]
+    df = spark.createDataFrame(rows, "k long, item long, v double")
+    means = {i: sum(v for _, j, v in rows if j == i) / sum(1 for _, j, _ in rows if j == i) for _, i, _ in rows}
+    off = spark.createDataFrame([(k, i, v - means[i]) for k, i, v in rows], "k long, item long, v double")
+    sums = lambda d, **more: {(x["a"], x["b"]): (x["common"], x["xy"], x["xx"], x["yy"]) for x in similarity.pair_sums(d, "k", value="v", form=form, **more).collect()}
+    got, want = sums(df, centre=spark.createDataFrame(list(means.items()), "item long, mean double")), sums(off)
+    assert got.keys() == want.keys() and got and all(got[p] == pytest.approx(want[p]) for p in want)
