@@ -493,3 +493,10 @@ def test_pair_sums_around_means(spark, form, step):
     sums = lambda d, **more: {(x["a"], x["b"]): (x["common"], x["xy"], x["xx"], x["yy"]) for x in similarity.pair_sums(d, "k", value="v", form=form, **more).collect()}
     got, want = sums(df, centre=spark.createDataFrame(list(means.items()), "item long, mean double")), sums(off)
     assert got.keys() == want.keys() and got and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_cf_user_model_is_whole(spark, sf_dir):
+    from ravelin.plans.queries import QUERIES
+
+    got, whole = ({tuple(r) for r in QUERIES[n](spark, sf_dir).collect()} for n in ("cf_user_model", "cf_user_model_all"))
+    assert got == whole
