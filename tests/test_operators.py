@@ -17,6 +17,7 @@ from ravelin.operators import analytics, clustering, graph, itemsets, recommend,
 from ravelin.plans import queries
 from ravelin.sources import readers, sinks
 from ravelin.sources.push import Feed
+from ravelin.sources.storage import materialize
 from ravelin.streaming import streams
 
 
@@ -500,3 +501,22 @@ def test_cf_user_model_is_whole(spark, sf_dir):
 
     got, whole = ({tuple(r) for r in QUERIES[n](spark, sf_dir).collect()} for n in ("cf_user_model", "cf_user_model_all"))
     assert got == whole
+
+
+@pytest.mark.parametrize("far", [1, 2**40])
+@pytest.mark.parametrize("small", [False, True])
+def test_pairs_of_numbers_are_counted_in_arrays(spark, monkeypatch, far, small):
+    """Blocks of keys, cut items and short chunks change nothing; no pair goes through an aggregation."""
+    if small:
+        for name, value in (("BLOCK", 8), ("HOT", 50), ("CHUNK", 7)):
+            monkeypatch.setattr(similarity, name, value)
+    rnd = random.Random(1)
+    rows = sorted({(rnd.randrange(20), rnd.randrange(-40, 40) * far) for _ in range(500)})
+    by_key = {k: sorted(i for q, i in rows if q == k) for k, _ in rows}
+    counts = {}
+    for items in by_key.values():
+        for pair in itertools.combinations(items, 2):
+            counts[pair] = counts.get(pair, 0) + 1
+    found = similarity.pair_sums(materialize(spark.createDataFrame(rows, "k long, item long"), "pairs"), "k", least=2, form="sparse")
+    assert {(r["a"], r["b"]): r["common"] for r in found.collect()} == {p: n for p, n in counts.items() if n > 1}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
