@@ -520,3 +520,65 @@ def test_pairs_of_numbers_are_counted_in_arrays(spark, monkeypatch, far, small):
     found = similarity.pair_sums(materialize(spark.createDataFrame(rows, "k long, item long"), "pairs"), "k", least=2, form="sparse")
     assert {(r["a"], r["b"]): r["common"] for r in found.collect()} == {p: n for p, n in counts.items() if n > 1}
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_read_written_levels(spark):
+    """A level is used several times, so the pairs behind it are counted once."""
+    rows = materialize(spark.createDataFrame([(b, i) for b in range(6) for i in range(4)], "basket long, item long"), "baskets")
+    found = itemsets.candidate_itemsets(rows, 3, 3)
+    assert sorted(r["items"] for r in found.collect()) == [[0, 1, 2], [0, 1, 3], [0, 2, 3], [1, 2, 3]]
+    assert "MapInArrow" not in _plan(found) and "Aggregate" not in _plan(found)
+
+
+def test_fp_growth_holds_no_tree(spark, monkeypatch):
+    import pyspark.ml.fpm as fpm
+
+    monkeypatch.setattr(fpm, "FPGrowth", None)
+    rnd = random.Random(4)
+    baskets = [frozenset(rnd.sample(range(8), rnd.randint(1, 7))) for _ in range(60)]
+    rows = spark.createDataFrame([(b, i) for b, items in enumerate(baskets) for i in items], "basket long, item long")
+    want = {c: n for k in range(1, 8) for c in itertools.combinations(range(8), k) if (n := sum(set(c) <= b for b in baskets)) >= 9}
+    assert max(map(len, want)) > 3
+    assert {tuple(r["items"]): r["n"] for r in itemsets.fp_growth(rows, 9).collect()} == want
+
+
+def test_itemset_lines_are_put_together_from_pieces(spark):
+    rows = [(1, [str(k)]) for k in range(300)] + [(2, [str(k), str(k + 1)]) for k in range(50)]
+    lines = sinks.itemset_lines(spark.createDataFrame(rows, "size int, items array<string>"), "Title")
+    want = ["Title:", ",".join(f"('{k}')" for k in sorted(map(str, range(300)))), ",".join(f"('{a}', '{b}')" for a, b in sorted((str(k), str(k + 1)) for k in range(50)))]
+    assert [r["value"] for r in lines.collect()] == want
+    assert "collect_list" not in _plan(lines)
+
+
+def test_content_scores_count_terms_by_their_owners(spark):
+    owners = [("x", t) for t in "abcd"] + [("y", t) for t in "cde"] + [("z", "q")]
+    profiles = [(1, t) for t in "abe"] + [(2, t) for t in "cdz"] + [(3, "n")]
+    found = recommend.content_scores(spark.createDataFrame(owners, "owner string, term string"), spark.createDataFrame(profiles, "key long, term string"))
+    got = {(r["owner"], r["key"]): round(r["sim"], 9) for r in found.collect()}
+    want = {("x", 1): 2 / math.sqrt(12), ("y", 1): 1 / 3, ("x", 2): 2 / math.sqrt(12), ("y", 2): 2 / 3}
+    assert got == {p: round(v, 9) for p, v in want.items()}
+    assert "set#" in _plan(found)
+
+
+def test_reservoir_reports_are_those_of_each_event(spark, tmp_path):
+    """Against a plain loop, whatever the order that rows come in."""
+    tags = [(k, "abc1"[k * k % 4 if k % 3 else k % 2]) for k in range(700)]
+    spark.createDataFrame(random.Random(2).sample(tags, 700), "order long, tag string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    for alpha in (False, True):
+        kept, want = [], []
+        for n, (_, tag) in enumerate(tags, 1):
+            digest = hashlib.md5(f"5:{n}".encode()).hexdigest()
+            if len(kept) < 20:
+                kept.append(tag)
+            elif (tag.isalpha() or not alpha) and int(digest[:8], 16) * n < 20 << 32:
+                kept[int(digest[8:16], 16) % 20] = tag
+            counts = {t: kept.count(t) for t in kept}
+            levels = sorted(set(counts.values()), reverse=True)[:3]
+            want.append((n, "; ".join(f"{t} : {-c}" for c, t in sorted((-c, t) for t, c in counts.items() if c in levels))))
+        stream = spark.readStream.schema("order long, tag string").parquet(str(tmp_path / "in"))
+        found = streams.last_result(streams.reservoir_reports(stream, 20, eligible_only_alpha=alpha), "append")
+        assert sorted((r["number"], r["report"]) for r in found.collect()) == want
