@@ -7,6 +7,7 @@ import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,20 +98,32 @@ def reservoir_reports(stream: DataFrame, size: int = 100, top: int = 3, eligible
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n, kept = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        out, rows = [], pd.concat(list(batches)).sort_values(["order", "tag"])
+        rows = pd.concat(list(batches))
+        if not (np.diff(rows["order"].to_numpy()) > 0).all():
+            rows = rows.sort_values(["order", "tag"])
+        counts, report, first, out = Counter(kept), None, n + 1, []
         for tag in rows["tag"]:
             n += 1
-            digest = hashlib.md5(f"{seed}:{n}".encode()).hexdigest()
             if len(kept) < size:
                 kept.append(tag)
-            elif (tag.isalpha() or not eligible_only_alpha) and int(digest[:8], 16) * n < size << 32:
-                kept[int(digest[8:16], 16) % size] = tag
-            counts = Counter(kept)
-            levels = sorted(set(counts.values()), reverse=True)[:top]
-            lines = sorted(((-c, t) for t, c in counts.items() if c in levels))
-            out.append((n, "; ".join(f"{t} : {-c}" for c, t in lines)))
+                counts[tag] += 1
+                report = None
+            elif not eligible_only_alpha or tag.isalpha():
+                digest = hashlib.md5(b"%d:%d" % (seed, n)).digest()
+                if int.from_bytes(digest[:4], "big") * n < size << 32:
+                    slot = int.from_bytes(digest[4:8], "big") % size
+                    counts[kept[slot]] -= 1
+                    counts[tag] += 1
+                    kept[slot], report = tag, None
+            if report is None:  # it changes with the reservoir only
+                counts = +counts
+                levels = sorted(set(counts.values()), reverse=True)[:top]
+                report = "; ".join(f"{t} : {-c}" for c, t in sorted((-c, t) for t, c in counts.items() if c in levels))
+            out.append(report)
         state.update((n, kept))
-        yield pd.DataFrame(out, columns=["number", "report"])
+        for low in range(0, len(out), 100_000):
+            part = out[low : low + 100_000]
+            yield pd.DataFrame({"number": np.arange(first + low, first + low + len(part)), "report": part})
 
     tagged = stream.where("tag IS NOT NULL AND tag <> ''").select(F.lit(0).alias("one"), "order", "tag")
     return tagged.groupBy("one").applyInPandasWithState(step, "number long, report string", "n long, kept array<string>", "append", "NoTimeout")
