@@ -582,3 +582,19 @@ def test_reservoir_reports_are_those_of_each_event(spark, tmp_path):
         stream = spark.readStream.schema("order long, tag string").parquet(str(tmp_path / "in"))
         found = streams.last_result(streams.reservoir_reports(stream, 20, eligible_only_alpha=alpha), "append")
         assert sorted((r["number"], r["report"]) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_predictions_from_users_need_no_model(spark, monkeypatch, small):
+    """Blocks and shards of users agree with the model of all pairs."""
+    rnd = random.Random(6)
+    data = [(u, i, float(rnd.randint(1, 9))) for u in range(40) for i in rnd.sample(range(12), rnd.randint(1, 9))]
+    ratings = materialize(spark.createDataFrame(data + [(u + 100, i, r) for u, i, r in data], "user long, item int, stars double"), "ratings")
+    wanted = spark.createDataFrame([(u, i) for u in range(0, 150, 3) for i in range(0, 14, 2)], "user long, item int")
+    want = recommend.predict_by_users(materialize(recommend.user_model(ratings), "model"), ratings, wanted).collect()
+    if small:
+        for name, value in (("SHARD", 200), ("STRIP", 3), ("WIDE", 7)):
+            monkeypatch.setattr(recommend, name, value)
+    monkeypatch.setattr(recommend, "user_model", None)
+    got = recommend.predict_from_users(ratings, wanted).collect()
+    assert want and {(r["user"], r["item"]): round(r["stars"], 6) for r in got} == {(r["user"], r["item"]): round(r["stars"], 6) for r in want}
