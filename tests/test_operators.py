@@ -598,3 +598,22 @@ def test_predictions_from_users_need_no_model(spark, monkeypatch, small):
     monkeypatch.setattr(recommend, "user_model", None)
     got = recommend.predict_from_users(ratings, wanted).collect()
     assert want and {(r["user"], r["item"]): round(r["stars"], 6) for r in got} == {(r["user"], r["item"]): round(r["stars"], 6) for r in want}
+
+
+@pytest.mark.parametrize("source", ["current", "original"])
+def test_a_small_graph_is_split_in_one_task(spark, monkeypatch, source):
+    r = random.Random(4)
+    edges = sorted({tuple(sorted(r.sample(range(14), 2))) for _ in range(26)} | {(20, 21), (21, 22), (30, 31)})
+    df = spark.createDataFrame(edges, "u long, v long")
+    jobs = dict(graph.split_communities(df, source, local=False).collect()) if source == "original" else None
+    monkeypatch.setattr(graph, "betweenness", lambda *_: pytest.fail("a job for each removal"))
+    monkeypatch.setattr(graph, "ROOTS", 3)
+    got = dict(graph.split_communities(df, source).collect())
+    if jobs is not None:
+        assert got == jobs
+    else:
+        groups = {}
+        for i, c in got.items():
+            groups.setdefault(c, []).append(i)
+        assert sorted(sorted(g) for g in groups.values()) == brute_split(edges)[0]
+    assert graph.split_communities(df.where("u < 0"), source).isEmpty()
