@@ -617,3 +617,31 @@ def test_a_small_graph_is_split_in_one_task(spark, monkeypatch, source):
             groups.setdefault(c, []).append(i)
         assert sorted(sorted(g) for g in groups.values()) == brute_split(edges)[0]
     assert graph.split_communities(df.where("u < 0"), source).isEmpty()
+
+
+@pytest.mark.parametrize("far", [1, 2**33])
+@pytest.mark.parametrize("small", [False, True])
+def test_items_of_few_keys_meet_without_a_shuffle(spark, monkeypatch, far, small):
+    """Blocks and shards change nothing; bands, sums and cosines are those of the shuffled matrices."""
+    if small:
+        for name, value in (("SIDE", 5), ("SHARD", 60), ("CHUNK", 20)):
+            monkeypatch.setattr(similarity, name, value)
+    r = random.Random(6)
+    rows = [(k, i * far, r.random() - 0.4) for i in range(-9, 16) for k in r.sample(range(12), 8)]
+    df = materialize(spark.createDataFrame(rows + [(None, 3 * far, 0.5)], "k int, item long, v double"), "few")
+    bands = spark.createDataFrame([(i * far, [str(i % 3), str(i % 4)]) for i in range(-9, 15)], "item long, bands array<string>")
+    for more in ({}, {"value": "v"}, {"threshold": 0.4}, {"value": "v", "threshold": 0.4, "bands": bands}, {"bands": bands}, {"value": "v", "cosine": True}):
+        want, got = (similarity.pair_sums(df, "k", least=3, form=form, **more) for form in ("dense", "wide"))
+        assert want.dtypes == got.dtypes or "cosine" in more
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan
+        want, got = ({(x["a"], x["b"]): tuple(x)[2:] for x in d.collect()} for d in (want, got))
+        assert got.keys() == want.keys() and got and all(got[p] == pytest.approx(want[p]) for p in want)
+
+
+def test_user_models_are_made_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "DENSE_FROM", 10)
+    ratings = materialize(spark.createDataFrame([(u, i, float((u * i) % 7)) for u in range(30) for i in range(9)], "user long, item int, stars double"), "ratings")
+    for more in ({}, {"exact": False, "hashes": 4, "rows": 2, "m": 50}):
+        plan = recommend.user_model(ratings, **more)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan
