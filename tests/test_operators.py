@@ -645,3 +645,32 @@ def test_user_models_are_made_without_a_shuffle_of_pairs(spark, monkeypatch):
     for more in ({}, {"exact": False, "hashes": 4, "rows": 2, "m": 50}):
         plan = recommend.user_model(ratings, **more)._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("batch, wanted_cut", [(10_000, 200_000), (3, 200_000), (7, 2)])
+def test_predictions_by_items_are_made_where_the_pairs_arrive(spark, monkeypatch, batch, wanted_cut):
+    """Short batches and cut items change nothing; the nearest items need no shuffle of their own."""
+    monkeypatch.setattr(recommend, "WANTED", wanted_cut)
+    monkeypatch.setattr(recommend, "LOOKUP", 10)
+    r = random.Random(8)
+    pairs = [p for p in itertools.combinations(range(-3, 12), 2) if r.random() < 0.7]
+    model = {p: round(r.random(), 1) + 0.05 for p in pairs}
+    rated = {(u, i): float(r.randint(1, 5)) for u in range(12) for i in r.sample(range(-3, 12), 7)}
+    wanted = [(u, i) for u in range(13) for i in range(-4, 12) if r.random() < 0.6]
+    want = {}
+    for u, i in wanted:
+        near = sorted((-round(model[min(i, j), max(i, j)], 9), j, s) for (v, j), s in rated.items() if v == u and (min(i, j), max(i, j)) in model)[:3]
+        if near:
+            want[u, i] = sum(-a * s for a, _, s in near) / sum(-a for a, _, _ in near)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = recommend.predict_by_items(
+            spark.createDataFrame([(*p, s) for p, s in model.items()], "a long, b long, sim double"),
+            spark.createDataFrame([(*k, s) for k, s in rated.items()], "user long, item long, stars double"),
+            spark.createDataFrame(wanted + wanted[:3], "user long, item long"), 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == len(want) and {(x["user"], x["item"]): x["stars"] for x in rows} == pytest.approx(want)
