@@ -674,3 +674,17 @@ def test_predictions_by_items_are_made_where_the_pairs_arrive(spark, monkeypatch
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(rows) == len(want) and {(x["user"], x["item"]): x["stars"] for x in rows} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("hot", [8_000_000, 3])
+def test_sums_of_pairs_in_many_tasks_are_not_shuffled(spark, monkeypatch, hot):
+    """The rows of a pair are in one task already, whatever its numbers are sent as."""
+    for name, value in (("PAIRS", 50), ("HOT", hot)):
+        monkeypatch.setattr(similarity, name, value)
+    rows = materialize(spark.createDataFrame([(k, i, float(k)) for k in range(5) for i in range(20)], "k long, item long, v double"), "rows")
+    centre = materialize(spark.createDataFrame([(i, 2.0) for i in range(20)], "item long, mean double"), "means")
+    for more in ({}, {"centre": centre}):
+        found = similarity.pair_sums(rows, "k", value="v", form="sparse", **more)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[: plan.index("posexplode(bs")].replace("BroadcastExchange", "")
+        assert found.count() == 190 and dict(found.dtypes)["a"] == "bigint"
