@@ -688,3 +688,14 @@ def test_sums_of_pairs_in_many_tasks_are_not_shuffled(spark, monkeypatch, hot):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan[: plan.index("posexplode(bs")].replace("BroadcastExchange", "")
         assert found.count() == 190 and dict(found.dtypes)["a"] == "bigint"
+
+
+def test_reviews_are_dealt_in_bounded_tasks(spark, sf_dir, monkeypatch):
+    """A task joins and makes distinct a bounded number of reviews, however many there are."""
+    want = sorted(map(tuple, queries._sets(spark, sf_dir, "user", "item", "l_partkey").collect()))
+    monkeypatch.setattr(queries, "REVIEWS", 500)
+    found = queries._sets(spark, sf_dir, "user", "item", "l_partkey")
+    tasks = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+    assert found._jdf.queryExecution().executedPlan().toString().count(f", {tasks}), REPARTITION_BY_NUM") == 3
+    assert found.rdd.getNumPartitions() == tasks > 4
+    assert sorted(map(tuple, found.collect())) == want
