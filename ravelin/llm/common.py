@@ -33,6 +33,31 @@ def trim() -> None:
         pass
 
 
+def ease(spark: SparkSession) -> bool:
+    """Give memory that earlier steps freed in the driver, Python and JVM, back to the system; whether the JVM could.
+
+    Compiling the code of many plans leaves the JVM's native heap some 100 MB larger after each long step.
+    """
+    trim()
+    try:
+        jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        jvm.System.gc()
+        kinds = [jvm.java.lang.Class.forName(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        inner = gateway.new_array(jvm.java.lang.Object, 1)
+        inner[0], args[3] = gateway.new_array(jvm.java.lang.String, 0), gateway.new_array(jvm.java.lang.String, 1)
+        args[2], args[3][0] = inner, "[Ljava.lang.String;"
+        types = gateway.new_array(jvm.java.lang.Class, 4)
+        for k, kind in enumerate(kinds):
+            types[k] = kind
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()  # its class is not public, its interface is
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, args)
+    except Exception:  # noqa: BLE001 - another JVM, or none: only memory is lost
+        return False
+    return True
+
+
 def text_of(column: str = "text") -> Column:
     """The text column as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import stars
-from .common import MAX_BROADCAST_IDS, lean, materialize, text_of, trim, without
+from .common import MAX_BROADCAST_IDS, ease, lean, materialize, text_of, trim, without
 
 WORDS = 5
 #: Ranges of the n-gram order for the partial counts; signatures that one bucket holds, about.
@@ -429,6 +429,7 @@ def hub_pairs(kept: DataFrame, comp: DataFrame, sizes: DataFrame, turn: int) ->
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     lean(docs.sparkSession)
+    ease(docs.sparkSession)
     rows = materialize(measured(docs), "sizes")
     standing = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "d1", "d2")).alias("s"), F.count(F.lit(1)).alias("rows"))
     standing = standing.select("doc_id", "s.*", "rows")
@@ -449,6 +450,7 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-int((count["n"] or 0) * 0.6) // BUCKET))
     found = materialize(once(shared_signatures(texts(nodes, count["c"]), buckets), "sig", "node"), "shared")
     kept = materialize(prefixes(found), "kept")
+    ease(docs.sparkSession)
     alive = materialize(kept.select("node").distinct().join(nodes, "node"), "alive")
     segs = materialize(once(segments(texts(alive, alive.count())), "node", "frag"), "segments")
     sizes = alive.select("node", "n")
@@ -458,9 +460,11 @@ def join(docs: DataFrame) -> DataFrame:
         if near.isEmpty():
             break
         links = merged(links, materialize(linked(near, segs, alive), "links"))
+        ease(docs.sparkSession)
     # whatever shares a signature across components is compared, all of it
     last = materialize(cross_pairs(across(kept, alone if links is None else links), segs, sizes), "near")
     comp = merged(links, materialize(linked(last, segs, alive), "links"))
+    ease(docs.sparkSession)
     whole = rows.join(standing.select("doc_id", F.struct("n", "d1", "d2").alias("s")), "doc_id", "left")
     named = whole.select("doc_id", F.col("n").alias("own"), "s").join(nodes.select(F.struct("n", "d1", "d2").alias("s"), "node"), "s", "left").join(comp, "node", "left")
     return named.select("doc_id", F.col("own").alias("n_shingles"), F.coalesce("comp", "node", "doc_id").alias("component_id"))

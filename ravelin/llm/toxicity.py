@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, materialize, sample_labels, text_of, trim, without
+from .common import ease, held_out, lean, materialize, sample_labels, text_of, trim, without
 
 SAMPLE, SAMPLE_CHARS = 8_000, 60_000_000
 #: Voters at most; patterns are counted as bits of one number.
@@ -289,11 +289,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Mined, float, np.ndarray]:
     """Mined voters, intercept and weights."""
+    ease(docs.sparkSession)
     known = sample(docs, labels).toPandas().sort_values("doc_id")
     y = known["_label"].to_numpy(int)
     mined = mine(known["text"].tolist(), y) if len(y) and y.any() else Mined()
     m = Voters(mined).size
     prior = float(np.clip((y.sum() + 1) / (len(y) + 2), 0.01, 0.5))
+    del known
+    ease(docs.sparkSession)
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id").distinct()
     free = without(docs.where(~held_out("doc_id", 5, 0)), marked, "marked")
     counted = patterns(free, mined).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("pattern")

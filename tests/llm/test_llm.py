@@ -11,7 +11,7 @@ import pytest
 from oracle import agrees
 from pyspark.sql import functions as F
 
-from ravelin.llm import chat, decontam, exact_dedup, ngram_join, packing, quality, queries, secrets, token_count, toxicity, warc
+from ravelin.llm import chat, common, decontam, exact_dedup, ngram_join, packing, quality, queries, secrets, token_count, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id long, node long, _hash string"
 LONG = "long word " * 30_000
@@ -468,3 +468,16 @@ def test_pipeline(spark, odd, sf_dir):
     assert left == near - leaks and list(kept) == [n for n, _ in corpus_pipeline.STAGES]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd.limit(0), sf_dir).columns == odd.columns
+
+
+def test_driver_gives_freed_memory_back(spark, monkeypatch):
+    """The pipeline was stopped for its driver's memory, of which a good part was native heap that the JVM had freed."""
+    assert common.ease(spark)
+    eased = []
+    monkeypatch.setattr(ngram_join, "ease", lambda s: eased.append(common.ease(s)))
+    monkeypatch.setattr(toxicity, "ease", lambda s: eased.append(common.ease(s)))
+    docs = docs_of(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")])
+    assert {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    n = len(eased)
+    toxicity.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert n >= 3 and len(eased) > n and all(eased)
