@@ -699,3 +699,21 @@ def test_reviews_are_dealt_in_bounded_tasks(spark, sf_dir, monkeypatch):
     assert found._jdf.queryExecution().executedPlan().toString().count(f", {tasks}), REPARTITION_BY_NUM") == 3
     assert found.rdd.getNumPartitions() == tasks > 4
     assert sorted(map(tuple, found.collect())) == want
+
+
+@pytest.mark.parametrize("far", [1, 2**40])
+@pytest.mark.parametrize("step", [5, 1_000_000])
+def test_items_of_few_keys_meet_at_their_first_common_key(spark, monkeypatch, far, step):
+    """One exchange of items with their keys, none of pairs of keys; pairs whose common keys are the first, middle or last ones."""
+    monkeypatch.setattr(similarity, "CHUNK", step)
+    rnd = random.Random(4)
+    held = {i * far: {k * far for k in rnd.sample(range(-6, 12), rnd.randrange(1, 8))} for i in range(-30, 50)}
+    rows = [(k, i) for i, keys in held.items() for k in keys]
+    want = {(a, b): len(held[a] & held[b]) for a, b in itertools.combinations(sorted(held), 2) if len(held[a] & held[b]) >= 3}
+    df = materialize(spark.createDataFrame(rows + [(None, 1), (1, None)], "k long, item long"), "few")
+    found = similarity.pair_sums(df, "k", least=3, form="second")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 1 and "Join" not in plan
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) > 10 and {(a, b): n for a, b, n in got} == want
+    assert similarity.pair_sums(df.where("item IS NULL"), "k", least=3, form="second").isEmpty()
